@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, url_filter
+from . import chat_format, language_id, quality, url_filter
 
 QUERIES = {
     "op2_chat_formatting": chat_format.query,
+    "op3_language_id": language_id.query,
     "op6_url_filters": url_filter.query,
+    "op7_quality_classifier": quality.query,
 }
 
 ORACLES = {
