@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, language_id, packing, quality, simhash, token_count, url_filter
+from . import chat_format, decontaminate, language_id, packing, quality, simhash, token_count, url_filter
 
 QUERIES = {
     "op2_chat_formatting": chat_format.query,
     "op3_language_id": language_id.query,
+    "op5_decontamination": decontaminate.query,
     "op6_url_filters": url_filter.query,
     "op7_quality_classifier": quality.query,
     "op8_simhash": simhash.query,
