@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, packing, quality, simhash, token_count, url_filter
+from . import chat_format, decontaminate, language_id, packing, quality, simhash, substring_dedup, token_count, url_filter
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.query,
     "op2_chat_formatting": chat_format.query,
     "op3_language_id": language_id.query,
     "op5_decontamination": decontaminate.query,
