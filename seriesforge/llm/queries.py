@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, packing, quality, simhash, substring_dedup, token_count, url_filter
+from . import chat_format, decontaminate, jaccard_join, language_id, packing, quality, simhash, substring_dedup, token_count, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op2_chat_formatting": chat_format.query,
     "op3_language_id": language_id.query,
+    "op4_ngram_jaccard_join": jaccard_join.query,
     "op5_decontamination": decontaminate.query,
     "op6_url_filters": url_filter.query,
     "op7_quality_classifier": quality.query,

@@ -98,14 +98,14 @@ class Filter:
     def __init__(self, bits: np.ndarray):
         self.bits = bits
 
-    def __contains__(self, h):
-        raise TypeError("use test()")
-
     def test(self, h: np.ndarray) -> np.ndarray:
-        block = (h & np.uint64(len(self.bits) - 1)).astype(np.int64)
-        out = np.ones(len(h), dtype=bool)
+        out = np.zeros(len(h), dtype=bool)
+        at = np.arange(len(h))
         for i in range(8):
-            out &= (self.bits[block, i] >> ((h >> np.uint64(16 + 6 * i)) & np.uint64(63))) & np.uint64(1) > 0
+            key = h[at]
+            block = (key & np.uint64(len(self.bits) - 1)).astype(np.int64)
+            at = at[(self.bits[block, i] >> ((key >> np.uint64(16 + 6 * i)) & np.uint64(63))) & np.uint64(1) > 0]
+        out[at] = True
         return out
 
 
