@@ -142,7 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with all their columns and ``score``, in their order."""
+    """docs with all their columns and ``score``, in their order; a column of that name is replaced."""
+    docs = docs.drop("score")
 
     def run(batches):
         for batch in batches:

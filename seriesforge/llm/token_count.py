@@ -32,6 +32,7 @@ from . import _arrow
 SPACE_MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHED_WORDS, CACHED_BYTES = 400_000, 48
+_MARK = SPACE_MARK.encode()
 _WORD = re.compile(rb"\n| +[^ \n]*|[^ \n]+")
 
 
@@ -101,7 +102,8 @@ class Counter:
         if not self.by_word:
             return self.best(SPACE_MARK + text.decode("utf-8", "replace").replace(" ", SPACE_MARK))
         tokens, total, cache = 0, 0.0, self.cache
-        for word in _WORD.findall(b" " + text):
+        # a mark in the text itself is the same letter as a space
+        for word in _WORD.findall(b" " + text.replace(_MARK, b" ")):
             got = cache.get(word)
             if got is None:
                 got = self.best(word.decode("utf-8", "replace").replace(" ", SPACE_MARK))
