@@ -8,7 +8,7 @@ from seriesforge.plans.parser import parse
 
 CPU, DISK = "node_cpu_seconds_total", "node_filesystem_avail_bytes"
 LABELS = [
-    {"__name__": "up", "job": "prometheus", "instance": "localhost:9090"},
+    {"__name__": "up", "job": "monitor", "instance": "localhost:9090"},
     {"__name__": "up", "job": "node_exporter", "instance": "localhost:9100"},
     {"__name__": "up", "job": "node_exporter", "instance": "remotehost:9100"},
     {"__name__": CPU, "cpu": "0", "mode": "idle"},
@@ -29,8 +29,8 @@ def small(spark):
 @pytest.mark.parametrize(("selector", "ids"), [
     ("up", {1, 2, 3}),
     ('{__name__=~"u."}', {1, 2, 3}),
-    ('{__name__="up",job="prometheus"}', {1}),
-    ('up{job!="prometheus"}', {2, 3}),
+    ('{__name__="up",job="monitor"}', {1}),
+    ('up{job!="monitor"}', {2, 3}),
     ('{__name__=~"node_cpu_.*",mode=~"^u.*"}', {5, 6}),
     (r'{__name__=~"node_cpu_.*|up",mode!~"u\\wer",cpu!=""}', {4}),
     (DISK + '{environment=~"^$"}', {7}),
