@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesforge.llm import decontaminate, jaccard_join, packing, quality, substring_dedup
-from seriesforge.llm._session import shared_checkpoints
+from seriesforge.llm._session import prepare, shared_checkpoints
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents with a lower quality score are rejected.
@@ -24,13 +24,14 @@ LEAST_QUALITY = 0.5
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
+    prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.score(docs.select(COLUMNS), quality.train(docs, labels)).where(F.col("score") >= LEAST_QUALITY).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least doc_id of each group that links connect."""
-    shared_checkpoints(spark)
+    prepare(spark)
     docs = docs.select(COLUMNS)
     found = jaccard_join.linked_components(docs)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
@@ -40,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts words of passages that also start earlier in the corpus."""
-    shared_checkpoints(spark)
+    prepare(spark)
     cut = substring_dedup.dedup_texts(docs.select(COLUMNS))
     length = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", length).select(COLUMNS)
@@ -48,11 +49,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that contain a benchmark item."""
+    prepare(spark)
     return decontaminate.clean_documents(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all that is left into sequences, with the token ids."""
+    prepare(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -70,6 +73,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each written and read again in the shared folder."""
+    prepare(spark)
     folder = f"{shared_checkpoints(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):

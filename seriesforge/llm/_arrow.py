@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 #: Word separators of the contracts: space and U+0009 to U+000D.
 SPACE = np.zeros(256, dtype=bool)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -16,3 +17,21 @@ def shared_checkpoints(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
+
+
+#: Rows of an Arrow batch: whole texts of this many documents are in memory at once.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Shared checkpoints, and Arrow batches whose size is bounded for rows of long texts."""
+    shared_checkpoints(spark)
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nobody refers to any more, before the next ones are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
