@@ -279,7 +279,7 @@ def removed_words(word_offs: np.ndarray, starts: np.ndarray, masks: np.ndarray,
 
 def _cut(batches):
     for batch in batches:
-        flat = {c: _lists(batch.column(c)) for c in ("starts", "masks", "mores")}
+        flat = {c: _lists(batch.column(name)) for c, name in _COVERS.items()}
         edges = np.concatenate(([0], np.cumsum(flat["starts"][1])))
         for lo, hi, buf, offs in _arrow.chunks(batch.column("text")):
             _, _, word_offs = _arrow.words(buf, offs)
@@ -296,10 +296,14 @@ def _cut(batches):
             yield batch, lo, hi, np.diff(word_offs), removed, kept
 
 
+#: Helper columns beside the caller's own.
+_PLACE, _COVERS = "__place", {"starts": "__starts", "masks": "__masks", "mores": "__mores"}
+
+
 def _with_covers(docs: DataFrame, most_blocks: int) -> DataFrame:
-    found = covers(docs, most_blocks).withColumnRenamed("doc_id", "place_id")
-    keyed = docs.withColumn("place_id", F.coalesce("doc_id", F.lit(_NULL_ID).cast("long")))
-    return keyed.join(found, "place_id", "left").drop("place_id")
+    found = covers(docs, most_blocks).withColumnsRenamed({"doc_id": _PLACE, **_COVERS})
+    keyed = docs.withColumn(_PLACE, F.coalesce("doc_id", F.lit(_NULL_ID).cast("long")))
+    return keyed.join(found, _PLACE, "left").drop(_PLACE)
 
 
 def removals(docs: DataFrame, most_blocks: int = MOST_BLOCKS) -> DataFrame:
@@ -325,12 +329,28 @@ def dedup_texts(docs: DataFrame, most_blocks: int = MOST_BLOCKS) -> DataFrame:
             columns = {c: batch.column(c)[lo:hi] for c in names} | {"text": text}
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(removed, pa.int64())], names=[*columns, "n_removed"])
 
+    docs = docs.drop("n_removed")
     names = docs.columns
     return _with_covers(docs, most_blocks).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())]))
 
 
-def query(spark, sf_dir: str) -> DataFrame:
-    from ._session import shared_checkpoints
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)
+),
+placed AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS nth FROM win),
+gone AS (SELECT DISTINCT doc_id, i + j AS k FROM placed, (SELECT unnest(range(20)) AS j) WHERE nth > 1),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+kept AS (
+  SELECT words.doc_id, count(*) AS n_words, count(gone.k) AS n_removed, string_agg(word, ' ' ORDER BY words.k) FILTER (gone.k IS NULL) AS left_over
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.k = words.k GROUP BY words.doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
 
-    shared_checkpoints(spark)
+def query(spark, sf_dir: str) -> DataFrame:
     return removals(spark.read.parquet(f"{sf_dir}/documents.parquet"))

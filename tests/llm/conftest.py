@@ -11,7 +11,7 @@ def make_docs(spark):
         rows = list(texts.items()) if isinstance(texts, dict) else list(texts)
         df = spark.createDataFrame([(i, t, (lang or {}).get(i), "src", None if t is None else len(t)) for i, t in rows], SCHEMA)
         if extra:  # clashing names of what operators add
-            for c in ("score", "h", "n", "place_id", "part", "component_id", "n_removed"):
+            for c in ("score", "h", "n", "place_id", "starts", "masks", "part", "component_id", "n_removed"):
                 df = df.selectExpr("*", f"1 AS {c}")
         return df
 
