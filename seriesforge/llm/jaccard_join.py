@@ -19,10 +19,11 @@ difference of at most (a + b) / 7 <= a / 3.
    second level one subset each: the parts themselves.) A set whose parts are too
    few for that argument also gets a signature for the rest of its band; a group of those
    counts only if its smaller side needs it.
-4. Each signature's group is compared with its member of least (u, doc_id), the likeliest
+4. Signatures that come only once are dropped by a filter like that of the shingles.
+   Each other signature's group is compared with its member of least (u, doc_id), the likeliest
    original; exact verification of these pairs joins most of a group at once. Only
    members that are still in different components are then compared with each
-   other, if sizes and u allow a link. Pairs are made distinct before they are
+   other, if sizes and u allow a link and they meet within the prefix of groups that linked sets must share. Pairs are made distinct before they are
    verified on the whole sets.
 
 Cases: a null text, or one without words, has the empty set and links with nothing;
@@ -36,12 +37,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _arrow
+from ._session import release
 from .components import components
 from .simhash import partition_keys
-from .substring_dedup import MOST_BLOCKS, bloom
+from .substring_dedup import MOST_BLOCKS
 
 SHINGLE = 5
 _HALF = np.uint64(32)
@@ -72,48 +75,99 @@ def _bloom_key(part: np.ndarray, low: np.ndarray) -> np.ndarray:
     return _arrow.mix64((part.astype(np.uint64) << _HALF) | low.astype(np.uint64))
 
 
+def _dealt(h: np.ndarray, n: int) -> pa.RecordBatch:
+    """A row for each partition: the low halves of its hashes, each twice at most."""
+    h = np.sort(h)
+    third = np.zeros(len(h), dtype=bool)
+    third[2:] = h[2:] == h[:-2]
+    h = h[~third]
+    edges = np.searchsorted(_part(h, n), np.arange(n + 1))
+    low = (h & np.uint64(0xFFFFFFFF)).astype("<u4")
+    full = np.flatnonzero(np.diff(edges))
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([low[edges[p] : edges[p + 1]].tobytes() for p in full], pa.binary())], names=["part", "low"])
+
+
 def _dealt_shingles(n: int):
-    """A row for each batch chunk and partition: the low halves of its shingles; twice if the chunk has it twice."""
+    def run(batches):
+        for batch in batches:
+            for _, _, buf, offs in _arrow.chunks(batch.column("text"), 2 << 20):
+                yield _dealt(shingles(buf, offs)[0], n)
 
+    return run
+
+
+def _dealt_signatures(n: int):
     def run(batches):
         for batch in batches:
-            for _, _, buf, offs in _arrow.chunks(batch.column("text"), 2 * _arrow.CHUNK_BYTES):
-                h = np.sort(shingles(buf, offs)[0])
-                again = np.zeros(len(h), dtype=bool)
-                again[1:] = h[1:] == h[:-1]
-                third = np.zeros(len(h), dtype=bool)
-                third[2:] = h[2:] == h[:-2]
-                h = h[~third]
-                edges = np.searchsorted(_part(h, n), np.arange(n + 1))
-                low = (h & np.uint64(0xFFFFFFFF)).astype("<u4")
-                full = np.flatnonzero(np.diff(edges))
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([low[edges[p] : edges[p + 1]].tobytes() for p in full], pa.binary())], names=["part", "low"])
+            yield _dealt(_signatures_of(batch)[0], n)
 
     return run
 
 
-def _shared(batches):
-    """Bloom keys of shingles that came at least twice; a task may hold several partitions."""
-    held: dict[int, list[np.ndarray]] = {}
-    for batch in batches:
-        for part, low in zip(batch.column("part").to_pylist(), batch.column("low"), strict=True):
-            held.setdefault(part, []).append(np.frombuffer(low.as_buffer(), "<u4"))
-    for part, lows in held.items():
-        low = np.sort(np.concatenate(lows))
-        twice = np.zeros(len(low), dtype=bool)
-        twice[1:] = low[1:] == low[:-1]
-        found = np.unique(low[twice])
-        yield pa.RecordBatch.from_arrays([pa.array(_bloom_key(np.full(len(found), part), found).view(np.int64))], names=["h"])
+class Shared:
+    """A blocked Bloom filter in slices, one for each partition of the shingles, each of its own size."""
+
+    def __init__(self, n_parts: int, slices: list[tuple[int, bytes]]):
+        self.mask = np.zeros(n_parts, dtype=np.uint64)
+        self.base = np.zeros(n_parts, dtype=np.int64)
+        bits, at = [np.zeros((1, 8), dtype=np.uint64)], 1
+        for part, raw in sorted(slices):
+            own = np.frombuffer(raw, dtype="<u8").reshape(-1, 8)
+            self.mask[part], self.base[part] = len(own) - 1, at
+            bits.append(own)
+            at += len(own)
+        self.bits = np.concatenate(bits)
+
+    def test(self, h: np.ndarray) -> np.ndarray:
+        part = _part(h, len(self.mask)).astype(np.int64)
+        key = _bloom_key(part, h & np.uint64(0xFFFFFFFF))
+        block = self.base[part] + (key & self.mask[part]).astype(np.int64)
+        out = np.zeros(len(h), dtype=bool)
+        at = np.arange(len(h))
+        for i in range(8):
+            at = at[(self.bits[block[at], i] >> ((key[at] >> np.uint64(16 + 6 * i)) & np.uint64(63))) & np.uint64(1) > 0]
+        out[at] = True
+        return out
+
+
+def _slice(key: np.ndarray, most: int) -> np.ndarray:
+    """The filter's blocks for the keys: 12 bits a key, within a fixed bound."""
+    blocks = 1 << min(max(0, most.bit_length() - 1), (len(key) * 12 // 512).bit_length())
+    bits = np.zeros((blocks, 8), dtype=np.uint64)
+    block = (key & np.uint64(blocks - 1)).astype(np.int64)
+    for i in range(8):
+        np.bitwise_or.at(bits[:, i], block, np.uint64(1) << ((key >> np.uint64(16 + 6 * i)) & np.uint64(63)))
+    return bits
+
+
+def _shared(most: int):
+    """The slice of shingles that came at least twice; a task may hold several partitions."""
 
+    def run(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for part, low in zip(batch.column("part").to_pylist(), batch.column("low"), strict=True):
+                held.setdefault(part, []).append(np.frombuffer(low.as_buffer(), "<u4"))
+        for part, lows in held.items():
+            low = np.sort(np.concatenate(lows))
+            twice = np.zeros(len(low), dtype=bool)
+            twice[1:] = low[1:] == low[:-1]
+            found = np.unique(low[twice])
+            if len(found):
+                bits = _slice(_bloom_key(np.full(len(found), part), found), most)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits.astype("<u8").tobytes()], pa.binary())], names=["part", "bits"])
+
+    return run
 
-def _nodes(shared, n_parts: int):
+
+def _nodes(shared):
     """doc_id, n, u, two digests of the set, and the domain's part of the set for documents that may link."""
 
     def run(batches):
         for batch in batches:
             for lo, hi, buf, offs in _arrow.chunks(batch.column("text")):
                 h, rows = shingles(buf, offs)
-                inside = shared.value.test(_bloom_key(_part(h, n_parts), h & np.uint64(0xFFFFFFFF)))
+                inside = shared.value.test(h)
                 edges = np.searchsorted(rows, np.arange(hi - lo + 1))
                 n = np.diff(edges)
                 seen = np.concatenate(([0], np.cumsum(inside)))
@@ -142,8 +196,8 @@ def parts_of_band(j: np.ndarray) -> np.ndarray:
     return (3 * (((2 << j) - 1) // 3 + 1)) // 2 + 12
 
 
-def signatures(elements: np.ndarray, offs: np.ndarray, n: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, row, whether it counts for the smaller side) for rows of domain elements."""
+def signatures(elements: np.ndarray, offs: np.ndarray, n: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(signature, row, whether it counts for the smaller side, whether it is of the set's own band, parts that aren't empty)."""
     out = []
     own = band(n)
     row_of = np.repeat(np.arange(len(n)), np.diff(offs))
@@ -164,20 +218,43 @@ def signatures(elements: np.ndarray, offs: np.ndarray, n: np.ndarray, u: np.ndar
         total = np.add.reduceat(mixed[these][order], begin) if len(begin) else np.zeros(0, np.uint64)
         row = (key[begin] >> np.uint64(36)).astype(np.int64)
         sign = _arrow.mix64(total ^ _arrow.mix64(seed[row] + (key[begin] & np.uint64((1 << 36) - 1))))
-        out.append((sign, row, np.ones(len(row), dtype=bool)))
         full = np.bincount(row, minlength=len(n))
+        out.append((sign, row, np.ones(len(row), dtype=bool), np.full(len(row), lower == 0), full[row]))
         rest = np.flatnonzero(takes & (full <= n // 3 - u))
-        out.append((_arrow.mix64(seed[rest] ^ np.uint64(0xE7037ED1A0B428DB)), rest, np.full(len(rest), lower == 0)))
+        out.append((_arrow.mix64(seed[rest] ^ np.uint64(0xE7037ED1A0B428DB)), rest, np.full(len(rest), lower == 0), np.full(len(rest), lower == 0), full[rest]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _signed(batches):
-    for batch in batches:
-        elements, offs = _binary_elements(batch.column("elements"))
-        n, u = _arrow.ints(batch.column("n")), _arrow.ints(batch.column("u"))
-        sign, row, small = signatures(elements, offs, n, u)
-        at = pa.array(row)
-        yield pa.RecordBatch.from_arrays([pa.array(sign.view(np.int64)), batch.column("doc_id").take(at), pa.array(n[row].astype(np.int32)), pa.array(u[row].astype(np.int32)), pa.array(small)], names=["sign", "doc_id", "n", "u", "small"])
+def _signatures_of(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    elements, offs = _binary_elements(batch.column("elements"))
+    return signatures(elements, offs, _arrow.ints(batch.column("n")), _arrow.ints(batch.column("u")))
+
+
+def _may_meet(row: np.ndarray, own: np.ndarray, full: np.ndarray, kept: np.ndarray, n: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Whether a set has as many signatures that aren't alone as it shares with any set that it links with.
+
+    At most n / 3 - u parts differ from a larger set, and 2n / 7 - u from a smaller one in its band.
+    """
+    key = 2 * row + own
+    meets = np.bincount(key, weights=kept, minlength=2 * len(n))[key]
+    most = np.where(own, n[row] // 3, 2 * n[row] // 7) - u[row]
+    return meets >= full - most
+
+
+def _signed(shared):
+    """The signatures that may have come at least twice."""
+
+    def run(batches):
+        for batch in batches:
+            got = _signatures_of(batch)
+            kept = shared.value.test(got[0])
+            n, u = _arrow.ints(batch.column("n")), _arrow.ints(batch.column("u"))
+            kept &= _may_meet(got[1], got[3], got[4], kept, n, u)
+            sign, row, small, own, full = (x[kept] for x in got)
+            n, u = n[row].astype(np.int32), u[row].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(sign.view(np.int64)), batch.column("doc_id").take(pa.array(row)), pa.array(n), pa.array(u), pa.array(small), pa.array(own), pa.array(full.astype(np.int32))], names=["sign", "doc_id", "n", "u", "small", "own", "full"])
+
+    return run
 
 
 def _binary_elements(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -213,37 +290,59 @@ def _can_link(n1, u1, n2, u2):
     return (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (7 * (u1 + u2) <= n1 + n2)
 
 
+def _of_smaller(n1, own1, n2, own2):
+    """Whether a group belongs to the band of the smaller set, where the pair must meet."""
+    return F.when(n1 <= n2, own1).otherwise(own2)
+
+
 def linked_components(docs: DataFrame, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = partition_keys(spark, n_parts)
-    dealt = docs.mapInArrow(_dealt_shingles(n_parts), "part int, low binary").repartition(n_parts, F.get(F.lit(keys), F.col("part")))
-    shared = spark.sparkContext.broadcast(bloom(dealt.mapInArrow(_shared, "h long").checkpoint(), most_blocks))
-    nodes = docs.mapInArrow(_nodes(shared, n_parts), "doc_id long, n long, u long, d1 long, d2 long, elements binary").checkpoint()
+
+    def repeated(packed: DataFrame):
+        """A broadcast filter of the hashes that came at least twice, of most_blocks * 64 bytes at most."""
+        dealt = packed.repartition(n_parts, F.get(F.lit(keys), F.col("part"))).mapInArrow(_shared(max(1, most_blocks // n_parts)), "part int, bits binary")
+        return spark.sparkContext.broadcast(Shared(n_parts, [(r["part"], bytes(r["bits"])) for r in dealt.collect()]))
+
+    shared = repeated(docs.mapInArrow(_dealt_shingles(n_parts), "part int, low binary"))
+    release(spark)
+    nodes = docs.mapInArrow(_nodes(shared), "doc_id long, n long, u long, d1 long, d2 long, elements binary").checkpoint()
 
     known = nodes.where("n > 0 AND doc_id IS NOT NULL")
     classes = known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")).checkpoint()
     sets = known.where("elements IS NOT NULL").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = sets.dropDuplicates(["doc_id", "d1", "d2"]).select("doc_id", "n", "u", "elements").checkpoint()
 
-    signed = sets.mapInArrow(_signed, "sign long, doc_id long, n int, u int, small boolean")
-    groups = signed.groupBy("sign").agg(F.min(F.struct("u", "doc_id", "n")).alias("pivot"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("small").alias("small"))
+    release(spark)
+    twice = repeated(sets.mapInArrow(_dealt_signatures(n_parts), "part int, low binary"))
+    signed = sets.mapInArrow(_signed(twice), "sign long, doc_id long, n int, u int, small boolean, own boolean, full int")
+    groups = signed.groupBy("sign").agg(F.min(F.struct("u", "doc_id", "n", "own")).alias("pivot"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("small").alias("small"))
     groups = groups.where("low <> high AND small").select("sign", "pivot").checkpoint()
-    members = signed.select("sign", "doc_id", "n", "u").join(groups, "sign").select("sign", "doc_id", "n", "u", "pivot").checkpoint()
+    columns = ["sign", "doc_id", "n", "u", "own", "full"]
+    members = signed.select(*columns).join(groups, "sign").select(*columns, "pivot").checkpoint()
     pivot = lambda c: F.col(f"pivot.{c}")
-    stars = members.where((F.col("doc_id") != pivot("doc_id")) & _can_link(F.col("n"), F.col("u"), pivot("n"), pivot("u"))).select(pivot("doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = members.where((F.col("doc_id") != pivot("doc_id")) & _can_link(F.col("n"), F.col("u"), pivot("n"), pivot("u")) & _of_smaller(F.col("n"), F.col("own"), pivot("n"), pivot("own"))).select(pivot("doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = _verify(stars.checkpoint(), sets).checkpoint()
+    release(spark)
 
     labels = components(links).withColumnRenamed("node", "doc_id")
-    labelled = members.join(labels, "doc_id", "left").select("sign", "doc_id", "n", "u", F.coalesce("component", "doc_id").alias("label"), pivot("doc_id").alias("pivot_id"))
-    mixed = labelled.groupBy("sign").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sign")
-    left = labelled.join(mixed, "sign", "left_semi").checkpoint()
+    labelled = members.join(labels, "doc_id", "left").select(*columns, F.coalesce("component", "doc_id").alias("label"), pivot("doc_id").alias("pivot_id"))
+    mixed = labelled.groupBy("sign").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("sign", "size")
+    left = labelled.join(mixed, "sign")
     # In a group of several components, every pair of different ones that may link; stars have been compared.
+    # Sets that link agree in all parts but those with differences. So they meet in that many groups, and, with all groups
+    # in one order (other groups first, then by size), already within the first of each, one more than may differ.
+    w = W.partitionBy("doc_id", "own")
+    place = F.col("full") - F.count(F.lit(1)).over(w) + F.row_number().over(w.orderBy("size", "sign"))
+    left = left.withColumn("place", place).where(F.col("place") <= F.floor(F.col("n") / 3) - F.col("u") + 1).checkpoint()
     a, b = left.alias("a"), left.alias("b")
     apart = (F.col("a.sign") == F.col("b.sign")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.label") != F.col("b.label")) & (F.col("a.doc_id") != F.col("a.pivot_id")) & (F.col("b.doc_id") != F.col("b.pivot_id"))
-    more = a.join(b, apart & _can_link(F.col("a.n"), F.col("a.u"), F.col("b.n"), F.col("b.u"))).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
+    sizes = [F.col(f"{x}.{c}") for x in "ab" for c in ("n", "u")]
+    met = a.join(b, apart & _can_link(*sizes) & _of_smaller(F.col("a.n"), F.col("a.own"), F.col("b.n"), F.col("b.own")))
+    more = met.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
     found = _verify(more.checkpoint(), sets)
     labels = components(links.unionByName(found)).withColumnRenamed("node", "rep")
 
@@ -253,7 +352,4 @@ def linked_components(docs: DataFrame, most_blocks: int = MOST_BLOCKS) -> DataFr
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from ._session import shared_checkpoints
-
-    shared_checkpoints(spark)
     return linked_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
