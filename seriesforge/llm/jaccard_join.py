@@ -351,5 +351,27 @@ def linked_components(docs: DataFrame, most_blocks: int = MOST_BLOCKS) -> DataFr
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+),
+sets AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+    UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4
+  )
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+meets AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM meets JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+),
+reach AS (SELECT doc_id AS node, doc_id AS other FROM d UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.other)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least AS component_id
+FROM d LEFT JOIN sizes ON sizes.doc_id = d.doc_id
+JOIN (SELECT node, min(other) AS least FROM reach GROUP BY node) r ON r.node = d.doc_id
+"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return linked_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

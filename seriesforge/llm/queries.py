@@ -28,6 +28,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
     "op2_chat_formatting": chat_format.ORACLE,
+    "op4_ngram_jaccard_join": jaccard_join.ORACLE,
     "op6_url_filters": url_filter.ORACLE,
 }
