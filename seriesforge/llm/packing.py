@@ -24,6 +24,7 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -102,19 +103,21 @@ class WordTokenizer:
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
         split = [t.split() for t in texts]  # of bytes: at space and U+0009 to U+000D
+        words = list(chain.from_iterable(split))
         if len(self.known) > CACHED_WORDS:
             self._reset()
-        known = self.known
-        self._learn({w for ws in split for w in ws if w not in known})
-        flat, first = np.frombuffer(self.flat, "<u4"), np.frombuffer(self.first, np.int64)
-        out, get = [], known.__getitem__
-        for ws in split:
-            at = np.fromiter(map(get, ws), np.int64, len(ws))
-            begin = first[at]
-            size = first[at + 1] - begin
-            shift = np.repeat(begin - (np.cumsum(size) - size), size)
-            out.append(flat[shift + np.arange(len(shift))])
-        return out
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._learn({words[i] for i in missing})
+            at[missing] = [self.known[words[i]] for i in missing]
+        first = np.frombuffer(self.first, np.int64)
+        begin = first[at]
+        size = first[at + 1] - begin
+        edges = np.concatenate(([0], np.cumsum(size)))
+        flat = np.frombuffer(self.flat, "<u4")[np.repeat(begin - edges[:-1], size) + np.arange(edges[-1])]
+        ends = edges[np.cumsum([len(ws) for ws in split])] if split else []
+        return np.split(flat, ends[:-1]) if split else []
 
 
 @functools.lru_cache(1)
