@@ -238,3 +238,31 @@ def test_language_of_odd_texts(odd, make_docs):
     rows = {r["doc_id"]: r for r in language_id.identify(odd, model).collect()}
     for i, t in enumerate(ODD):
         assert (rows[i]["lang_pred"] == "und") == (t is None or not any(c.isalpha() for c in t)), t
+
+
+def edited_copies(n, many, seed):
+    """Items of n words, and for each a text with a copy at the largest number of edits allowed."""
+    rng = random.Random(seed)
+    some = lambda k: [f"v{rng.randrange(5000)}" for _ in range(k)]
+    items, texts = [some(n) for _ in range(many)], []
+    for item in items:
+        copy = list(item)
+        for _ in range(decontaminate.allowed(n)):
+            at, kind = rng.randrange(len(copy)), rng.randrange(3)
+            if kind == 0:
+                copy[at] = some(1)[0]
+            elif kind == 1:
+                del copy[at]
+            else:
+                copy.insert(at, some(1)[0])
+        texts.append(some(rng.randrange(50)) + copy + some(rng.randrange(50)))
+    return items, texts
+
+
+@pytest.mark.parametrize("n", [30, 100, 200, 400, 800])
+def test_decontamination_recall_of_long_items(n):
+    items, texts = edited_copies(n, 40, n)
+    index = decontaminate.build_index(list(range(len(items))), [" ".join(i) for i in items])
+    got = decontaminate.matches(*_arrow.string_buffer(pa.array([" ".join(t) for t in texts], pa.large_string())), index)
+    assert set(got) == {(i, i) for i in range(len(items))}
+    assert all(got[i, i][0] == plain_distance(items[i], texts[i]) for i in range(0, len(items), 20))
