@@ -17,9 +17,10 @@
 4. Every occurrence in every document is joined with its passage's result: all
    windows of a later occurrence are repeats, those of the first as the mask says.
 
-Places are ordered by (doc_id, word number). Cases: a null text has no words; a null
-id comes before all others; rows with one id are one place in that order, so they
-aren't earlier than each other; texts of under 20 words are kept whole; empty tables
+Places are ordered by (doc_id, word number). Cuts belong to a row's id and text (its
+64-bit hash and size), so rows with one id, or none, don't get each other's. Cases: a
+null text has no words; a null id comes before all others; rows with one id are one
+place in that order, so they aren't earlier than each other; texts of under 20 words are kept whole; empty tables
 give an empty result; further columns are ignored.
 """
 
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +44,13 @@ COMMON = 128
 #: Blocks of 64 bytes in a filter, at most: 32 MB.
 MOST_BLOCKS = 1 << 19
 _NULL_ID = -(1 << 63)
+#: Helper columns beside the caller's own: the id, and what tells texts of one id apart.
+_PLACE, _TEXT = "__place", ("__text", "__size")
+_COVERS = {"starts": "__starts", "masks": "__masks", "mores": "__mores"}
+
+
+def _text_key() -> dict[str, Column]:
+    return dict(zip(_TEXT, (F.xxhash64("text"), F.octet_length("text")), strict=True))
 
 
 class Runs:
@@ -168,7 +176,8 @@ def _passages(recurring, common, with_text: bool):
                 same[1:] = (d1[1:] == d1[:-1]) & (d2[1:] == d2[:-1]) & (runs.row[1:] == runs.row[:-1]) & (runs.first[1:] == runs.first[:-1] + 1) & (runs.windows[1:] == 1) & (runs.windows[:-1] == 1)
                 at = np.flatnonzero(~same)
                 more = np.diff(np.append(at, len(d1))) - 1
-                columns = {"d1": d1[at].view(np.int64), "d2": d2[at].view(np.int64), "doc_id": ids[at], "start": runs.start[at].astype(np.int32), "windows": runs.windows[at].astype(np.int32), "more": more.astype(np.int32)}
+                text = {c: batch.column(c)[lo:hi].fill_null(0).to_numpy(zero_copy_only=False)[runs.row[at]] for c in _TEXT}
+                columns = {"d1": d1[at].view(np.int64), "d2": d2[at].view(np.int64), "doc_id": ids[at], **text, "start": runs.start[at].astype(np.int32), "windows": runs.windows[at].astype(np.int32), "more": more.astype(np.int32)}
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns.values())], names=list(columns))
 
     return run
@@ -237,9 +246,9 @@ def _confirm(batches):
 
 
 def covers(docs: DataFrame, most_blocks: int = MOST_BLOCKS) -> DataFrame:
-    """doc_id, starts, masks, mores: the repeated windows of each document that has any (null ids as the least long).
+    """doc_id, __text, __size, cuts(start, mask, more): the repeated windows of each id and text that has any (null ids as the least long).
 
-    Bit b of a mask stands for the window at start + b; ``more`` further windows follow the first one.
+    Equal rows give equal cuts, which are kept once. Bit b of a mask stands for the window at start + b; ``more`` further windows follow the first one.
     """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
@@ -249,12 +258,12 @@ def covers(docs: DataFrame, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
     passages = docs.mapInArrow(_passages(recurring, common, True), "k long, d1 long, d2 long, doc_id long, start int, n long, passage binary")
     results = passages.repartition(dealt, "k").sortWithinPartitions("k", "d1", "d2").mapInArrow(_confirm, "d1 long, d2 long, first_doc long, first_start int, mask int")
-    occurrences = docs.mapInArrow(_passages(recurring, common, False), "d1 long, d2 long, doc_id long, start int, windows int, more int")
+    occurrences = docs.withColumns(_text_key()).mapInArrow(_passages(recurring, common, False), "d1 long, d2 long, doc_id long, __text long, __size int, start int, windows int, more int")
     is_first = (F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
     every = F.expr("shiftleft(1, windows) - 1")
-    found = occurrences.join(results, ["d1", "d2"]).select("doc_id", "start", F.when(is_first, F.col("mask")).otherwise(every).alias("mask"), "more")
+    found = occurrences.join(results, ["d1", "d2"]).select("doc_id", *_TEXT, "start", F.when(is_first, F.col("mask")).otherwise(every).alias("mask"), "more")
     found = found.where((F.col("mask") != 0) | (F.col("more") > 0))
-    return found.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks"), F.collect_list("more").alias("mores"))
+    return found.groupBy("doc_id", *_TEXT).agg(F.collect_set(F.struct("start", "mask", "more")).alias("cuts"))
 
 
 def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -267,13 +276,16 @@ def removed_words(word_offs: np.ndarray, starts: np.ndarray, masks: np.ndarray,
     """Whether each word of a chunk is covered."""
     n = int(word_offs[-1])
     edge = np.zeros(n + 1, dtype=np.int64)
-    base = word_offs[:-1][rows] + starts if len(rows) else starts
+    base, last = word_offs[:-1][rows] + starts, word_offs[1:][rows]
+
+    def cover(begin, size, end):
+        return np.bincount(np.minimum(begin, end), minlength=n + 1) - np.bincount(np.minimum(begin + size, end), minlength=n + 1)
+
     for b in range(window - ANCHOR + 1):
-        these = base[(masks >> b & 1) > 0] + b
-        edge += np.bincount(these, minlength=n + 1) - np.bincount(np.minimum(these + window, n), minlength=n + 1)
+        these = (masks >> b & 1) > 0
+        edge += cover(base[these] + b, window, last[these])
     longer = mores > 0
-    these = base[longer] + 1
-    edge += np.bincount(these, minlength=n + 1) - np.bincount(np.minimum(these + mores[longer] + window - 1, n), minlength=n + 1)
+    edge += cover(base[longer] + 1, mores[longer] + window - 1, last[longer])
     return np.cumsum(edge)[:n] > 0
 
 
@@ -296,14 +308,11 @@ def _cut(batches):
             yield batch, lo, hi, np.diff(word_offs), removed, kept
 
 
-#: Helper columns beside the caller's own.
-_PLACE, _COVERS = "__place", {"starts": "__starts", "masks": "__masks", "mores": "__mores"}
-
-
 def _with_covers(docs: DataFrame, most_blocks: int) -> DataFrame:
-    found = covers(docs, most_blocks).withColumnsRenamed({"doc_id": _PLACE, **_COVERS})
-    keyed = docs.withColumn(_PLACE, F.coalesce("doc_id", F.lit(_NULL_ID).cast("long")))
-    return keyed.join(found, _PLACE, "left").drop(_PLACE)
+    cuts = [F.col(f"cuts.{c}").alias(name) for c, name in zip(("start", "mask", "more"), _COVERS.values(), strict=True)]
+    found = covers(docs, most_blocks).select(F.col("doc_id").alias(_PLACE), *_TEXT, *cuts)
+    keyed = docs.withColumns({_PLACE: F.coalesce("doc_id", F.lit(_NULL_ID).cast("long")), **_text_key()})
+    return keyed.join(found, [_PLACE, *_TEXT], "left").drop(_PLACE, *_TEXT)
 
 
 def removals(docs: DataFrame, most_blocks: int = MOST_BLOCKS) -> DataFrame:

@@ -75,6 +75,34 @@ def test_removals_with_a_full_filter(make_docs):
     assert sorted([tuple(r) for r in got], key=str) == removed(rows)
 
 
+def shared_ids(seed=7):
+    """Rows without an id or with the same id, with different texts and lengths."""
+    rng = random.Random(seed)
+    some = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    passage, rows = some(30), []
+    for i in (None, 7):
+        rows += [(i, some(500) + passage), (i, some(40)), (i, some(10)), (i, passage + some(60)), (i, some(3)), (i, some(25))]
+        rows += [rows[-6]] * 3
+    rows += [(k, some(rng.randrange(5, 30)) + (passage if k % 4 == 0 else [])) for k in range(100, 130)]
+    return [(i, " ".join(w)) for i, w in rows]
+
+
+def test_rows_that_share_an_id_keep_their_own_words(make_docs):
+    rows = shared_ids()
+    got = substring_dedup.removals(make_docs(rows).repartition(3)).collect()
+    assert sorted([tuple(r) for r in got], key=str) == removed(rows)
+    short = [(None, " ".join(map(str, range(500))) + " " + rows[3][1]), (None, "a short row"), (5, rows[3][1])]
+    got = substring_dedup.removals(make_docs(short).coalesce(1)).collect()
+    assert sorted([tuple(r) for r in got], key=str) == removed(short)
+
+
+def test_cuts_end_with_their_row():
+    """A start past a row's end removes nothing of the next row."""
+    ints = lambda *x: np.array(x, dtype=np.int64)
+    gone = substring_dedup.removed_words(ints(0, 10, 40), ints(5, 500, 3), ints(1, 1, 1), ints(0, 4, 0), ints(0, 0, 1))
+    assert np.flatnonzero(gone).tolist() == [*range(5, 10), *range(13, 33)]
+
+
 def test_dedup_texts_keeps_columns(make_docs):
     rows = [(1, " ".join(map(str, range(30)))), (2, "a  b " + " ".join(map(str, range(30)))), (3, None), (4, "x \n y")]
     got = {r["doc_id"]: r.asDict() for r in substring_dedup.dedup_texts(make_docs(rows)).collect()}
