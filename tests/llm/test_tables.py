@@ -22,6 +22,16 @@ def test_url_rules(spark):
     assert got[13] == (":", "//x/y", None, "allow")
 
 
+@pytest.mark.parametrize("label", url_filter.BAD_LABELS)
+def test_the_list_blocks_each_listed_host(spark, label):
+    """Where no rule fits, the list alone decides: a page is allowed without it."""
+    pages = spark.createDataFrame([(0, f"http://m.{label}.example.net/a.html"), (1, f"http://{label}.example.org/b"), (2, "http://ok.example.org/b")], "page_id long, url string")
+    listed = url_filter.listed_urls(pages)
+    verdicts = lambda which: {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.url_verdicts(pages, which, url_filter.RULES).collect()}
+    assert verdicts(listed) == {0: (None, "block"), 1: (None, "block"), 2: (None, "allow")}
+    assert verdicts(listed.limit(0)) == {k: (None, "allow") for k in range(3)}
+
+
 def test_url_false_positives_are_removed(spark):
     """With a filter of one block nearly everything is possible; the join still decides exactly."""
     pages = spark.createDataFrame([(i, f"http://h{i}.org/{i % 40}") for i in range(400)], "page_id long, url string")
