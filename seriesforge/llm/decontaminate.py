@@ -25,7 +25,8 @@ of n words if some stretch of it has an edit distance (in words) of at most
 The benchmark is read in blocks of bounded size; each block is one pass over the
 documents, which aren't shuffled.
 
-Cases: null or empty texts and items contain and match nothing; items with fewer
+Cases: null or empty texts and items contain and match nothing; an item without an id
+is searched like others and reported with a null item_id; items with fewer
 than ``MIN_EDITED`` words must occur unchanged; repeated items are reported one by one, repeated
 documents too; empty tables give an empty result; further columns are ignored.
 """
@@ -122,7 +123,7 @@ def samples(rows: np.ndarray) -> Iterator[np.ndarray]:
 class Index:
     """Seeds and samples of a block of items."""
 
-    ids: np.ndarray
+    ids: pa.Array
     words: list[np.ndarray]
     edits: np.ndarray
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # words in a seed: bit table, hashes, items, offsets
@@ -130,7 +131,7 @@ class Index:
     members: dict[int, np.ndarray]
 
 
-def build_index(ids: list[int], texts: list[str], max_share: float = MAX_SHARE) -> Index:
+def build_index(ids: list[int | None], texts: list[str], max_share: float = MAX_SHARE) -> Index:
     values, offs = word_values(*_arrow.string_buffer(pa.array(texts, pa.large_string())))
     words = [values[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)]
     edits = np.array([allowed(len(w), max_share) for w in words], dtype=np.int64)
@@ -154,7 +155,7 @@ def build_index(ids: list[int], texts: list[str], max_share: float = MAX_SHARE)
     sizes = np.array([len(w) for w in words])
     members = {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes) if n}
     signatures = {n: np.array(list(samples(np.array([words[i] for i in m])))) for n, m in members.items()}
-    return Index(np.array(ids, dtype=np.int64), words, edits, seeds, signatures, members)
+    return Index(pa.array(ids, pa.int64()), words, edits, seeds, signatures, members)
 
 
 def climbs(item: np.ndarray, d: int, text: np.ndarray, start: int, place: int) -> bool:
@@ -232,7 +233,7 @@ def matches(buf: np.ndarray, offs: np.ndarray, index: Index) -> dict[tuple[int,
     return found
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[int], list[str]]]:
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[int | None], list[str]]]:
     """The items in blocks of about so many bytes, one at a time on the driver."""
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -257,7 +258,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_share: float = MAX_S
                         yield pa.RecordBatch.from_arrays(
                             [
                                 batch.column("doc_id")[lo:hi].take(rows),
-                                pa.array([int(index.ids[k[1]]) for k, _ in found], pa.int64()),
+                                index.ids.take(pa.array([k[1] for k, _ in found])),
                                 pa.array([v[0] for _, v in found], pa.int64()),
                                 pa.array([len(index.words[k[1]]) for k, _ in found], pa.int64()),
                                 pa.array([v[1] for _, v in found], pa.int64()),

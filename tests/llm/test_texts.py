@@ -266,3 +266,10 @@ def test_decontamination_recall_of_long_items(n):
     got = decontaminate.matches(*_arrow.string_buffer(pa.array([" ".join(t) for t in texts], pa.large_string())), index)
     assert set(got) == {(i, i) for i in range(len(items))}
     assert all(got[i, i][0] == plain_distance(items[i], texts[i]) for i in range(0, len(items), 20))
+
+
+def test_decontamination_of_an_item_without_id(spark, make_docs):
+    text = "one two three four five six seven"
+    docs, bench = make_docs([(1, f"so {text} so"), (2, "nothing here")]), spark.createDataFrame([(None, text), (4, "eight nine ten")], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, None, 0, 7, 1)]
+    assert [r["doc_id"] for r in decontaminate.clean_documents(docs, bench).collect()] == [2]
