@@ -130,10 +130,14 @@ def dump_by_shard(series: DataFrame, series_shard: DataFrame, shard: int) -> Dat
     return dump(series.join(series_shard.where(F.col("shard") == shard).select("series_id"), "series_id", "left_semi"))
 
 
+def posting_members(series: DataFrame, series_shard: DataFrame) -> DataFrame:
+    """(shard, name, value, series_id): the inverted index, derived; a row for each member, so no posting is gathered."""
+    return series.join(series_shard, "series_id").select("shard", F.explode("labels").alias("name", "value"), "series_id")
+
+
 def postings(series: DataFrame, series_shard: DataFrame) -> DataFrame:
-    """(shard, name, value, n, ids): the inverted index, derived."""
-    pairs = series.join(series_shard, "series_id").select("shard", "series_id", F.explode("labels").alias("name", "value"))
-    return pairs.groupBy("shard", "name", "value").agg(F.count(F.lit(1)).alias("n"))
+    """(shard, name, value, n): the size of each posting."""
+    return posting_members(series, series_shard).groupBy("shard", "name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def dump_by_posting(series: DataFrame, name: str, value: str | None = None) -> DataFrame:

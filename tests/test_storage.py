@@ -241,3 +241,12 @@ def test_entry_and_oracles(spark):
 
 def test_labels_type():
     assert LABELS.simpleString() == "map<string,string>"
+
+
+def test_posting_members(spark):
+    """The ids of each posting, one row each; postings has their numbers."""
+    series = spark.createDataFrame([(1, {"__name__": "m", "a": "1"}), (2, {"__name__": "m", "b": "x"})], "series_id long, labels map<string,string>")
+    shards = spark.createDataFrame([(1, 0), (2, 0), (2, 168)], "series_id long, shard int")
+    want = [(0, "__name__", "m", 1), (0, "__name__", "m", 2), (0, "a", "1", 1), (0, "b", "x", 2), (168, "__name__", "m", 2), (168, "b", "x", 2)]
+    assert rows(catalog.posting_members(series, shards), "shard", "name", "value", "series_id") == want
+    assert rows(catalog.postings(series, shards), "shard", "name", "value", "n") == [(0, "__name__", "m", 2), (0, "a", "1", 1), (0, "b", "x", 1), (168, "__name__", "m", 1), (168, "b", "x", 1)]
