@@ -11,20 +11,25 @@ difference of at most (a + b) / 7 <= a / 3.
    can't link with a different text and takes no further part. For the others only
    shingles inside (the domain) need be compared; u, the number outside, counts as difference.
 2. Exact copies (equal sets) are one class with its least doc_id as representative.
-3. PartEnum. Sets of sizes 2^j to 2^(j+1) - 1 form band j, and band j's instance
-   takes all sets that can link with a smaller one from it. The domain is
-   partitioned at random in more parts than the difference that band j allows, so
-   in some part that isn't empty both sets agree; the hash of a set's part is its
-   signature. (First-level partitions as many as differences leave the
-   second level one subset each: the parts themselves.) A set whose parts are too
-   few for that argument also gets a signature for the rest of its band; a group of those
-   counts only if its smaller side needs it.
-4. Signatures that come only once are dropped by a filter like that of the shingles.
-   Each other signature's group is compared with its member of least (u, doc_id), the likeliest
-   original; exact verification of these pairs joins most of a group at once. Only
-   members that are still in different components are then compared with each
-   other, if sizes and u allow a link and they meet within the prefix of groups that linked sets must share. Pairs are made distinct before they are
-   verified on the whole sets.
+3. PartEnum. Sizes are cut in bands of ratio 4/3; band j's instance takes the sets of
+   band j and those of the next that can link with one of it, which may differ in at most
+   k = top / 3 shingles of the domain. At random, the domain is cut in more than k / 2
+   parts and each of these in three cells. In some part at most one cell differs, so each
+   choice of two cells of a part gives a signature, the hash of the set's shingles in them,
+   and sets that link have one in common. There are some parts more than needed, as a
+   choice without shingles gives no signature; a set with too few parts in two cells
+   or more to be sure of a common signature is ``sparse`` and goes to step 5.
+4. In a signature's group all are compared with the member of least (u, doc_id), the likeliest
+   original: at first each set with the best of its partners only, then those that are still
+   in different components. (Sets are dealt by their least hash, so most of a group is in one
+   batch, and only the batch's best member goes on to the group of the whole table.)
+5. What is left: sets in groups that still hold several components, and sparse sets. Among
+   them a shingle counts only if it comes in sets of different components. That leaves
+   few sets; those that link share one of their rarest such shingles (the prefix of
+   n - ceil(3n / 4) + 1, rarest first). The sets of a prefix shingle are compared by their
+   counts in 64 buckets, whose differences sum up to no more than the symmetric difference,
+   in blocks of ``BLOCK`` rows at most; nothing but possible links leaves the task.
+6. Possible links of steps 4 and 5 are made distinct, and decided on the whole sets.
 
 Cases: a null text, or one without words, has the empty set and links with nothing;
 with fewer than five words the whole sequence is the only shingle; rows with one id
@@ -41,12 +46,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _arrow
-from ._session import release
+from ._session import Tables, release
 from .components import components
 from .simhash import partition_keys
 from .substring_dedup import MOST_BLOCKS
 
 SHINGLE = 5
+#: Counts of a set by the top bits of its shingles.
+BUCKETS = 64
+#: Rows of a prefix shingle that are compared in one go.
+BLOCK = 2048
 _HALF = np.uint64(32)
 
 
@@ -96,14 +105,6 @@ def _dealt_shingles(n: int):
     return run
 
 
-def _dealt_signatures(n: int):
-    def run(batches):
-        for batch in batches:
-            yield _dealt(_signatures_of(batch)[0], n)
-
-    return run
-
-
 class Shared:
     """A blocked Bloom filter in slices, one for each partition of the shingles, each of its own size."""
 
@@ -160,8 +161,14 @@ def _shared(most: int):
     return run
 
 
+def _counts(h: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
+    """Rows of bucket counts, 255 at most (which keeps differences within the true ones)."""
+    place = rows * BUCKETS + (h >> np.uint64(58)).astype(np.int64)
+    return np.minimum(np.bincount(place, minlength=n_rows * BUCKETS), 255).astype(np.uint8).reshape(n_rows, BUCKETS)
+
+
 def _nodes(shared):
-    """doc_id, n, u, two digests of the set, and the domain's part of the set for documents that may link."""
+    """doc_id, n, u, two digests of the set, and for documents that may link the domain's part of the set, its bucket counts and its least hash."""
 
     def run(batches):
         for batch in batches:
@@ -176,85 +183,108 @@ def _nodes(shared):
                 for seed in (0x2545F4914F6CDD1D, 0xDA942042E4DD58B5):
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_arrow.mix64(h ^ np.uint64(seed)))])
                     digest.append((total[edges[1:]] - total[edges[:-1]]).view(np.int64))
-                may = (n > 0) & (4 * u <= n)
+                may = ((n > 0) & (4 * u <= n)).tolist()
                 kept = h[inside]
-                elements = [kept[seen[a] : seen[b]].tobytes() if ok else None for a, b, ok in zip(edges[:-1], edges[1:], may.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[lo:hi], pa.array(n), pa.array(u), *map(pa.array, digest), pa.array(elements, pa.binary())],
-                    names=["doc_id", "n", "u", "d1", "d2", "elements"],
-                )
+                counts = _counts(kept, rows[inside], hi - lo)
+                spans = list(zip(seen[edges[:-1]].tolist(), seen[edges[1:]].tolist(), may, strict=True))
+                columns = {
+                    "doc_id": batch.column("doc_id")[lo:hi],
+                    "n": pa.array(n),
+                    "u": pa.array(u),
+                    "d1": pa.array(digest[0]),
+                    "d2": pa.array(digest[1]),
+                    "elements": pa.array([kept[a:b].tobytes() if ok else None for a, b, ok in spans], pa.binary()),
+                    "counts": pa.array([c.tobytes() if ok else None for c, ok in zip(counts, may, strict=True)], pa.binary()),
+                    "least": pa.array([int(kept[a].view(np.int64)) if ok and b > a else None for a, b, ok in spans], pa.int64()),
+                }
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
-def band(n: np.ndarray) -> np.ndarray:
-    return np.frexp(n.astype(float))[1] - 1
+def _tops(most: int = 1 << 40) -> np.ndarray:
+    """The largest size of each band."""
+    out = [1]
+    while out[-1] < most:
+        out.append(max(out[-1] + 1, 4 * (out[-1] + 1) // 3))
+    return np.array(out)
+
+
+TOPS = _tops()
 
 
 def parts_of_band(j: np.ndarray) -> np.ndarray:
-    """Parts of a band's instance: half as many again as differences allowed, and a few."""
-    return (3 * (((2 << j) - 1) // 3 + 1)) // 2 + 12
+    """Parts of a band's instance: a fifth and two more than the allowed differences need."""
+    return 6 * (TOPS[j] // 3 // 2 + 1) // 5 + 2
 
 
-def signatures(elements: np.ndarray, offs: np.ndarray, n: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(signature, row, whether it counts for the smaller side, whether it is of the set's own band, parts that aren't empty)."""
-    out = []
-    own = band(n)
+def signatures(elements: np.ndarray, offs: np.ndarray, n: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, their rows, whether each row is sparse)."""
+    signs, rows_of, sparse = [], [], np.zeros(len(n), dtype=bool)
+    own = np.searchsorted(TOPS, n)
     row_of = np.repeat(np.arange(len(n)), np.diff(offs))
     mixed = _arrow.mix64(elements ^ np.uint64(0x8BB84B93962EACC9))
     for lower in (0, 1):
-        j = own - lower
-        takes = (j >= 0) & ((lower == 0) | (3 * n <= 4 * ((2 << np.maximum(j, 0)) - 1)))
-        j = np.maximum(j, 0)
-        parts = parts_of_band(j)
+        j = np.maximum(own - lower, 0)
+        # differences inside the domain: a third of the smaller set, and two sevenths of the larger one
+        differ = (2 * n // 7 if lower else n // 3) - u
+        takes = (own >= lower) & (differ >= 0) & ((lower == 0) | (3 * n <= 4 * TOPS[j]))
         these = takes[row_of]
         rows, e = row_of[these], elements[these]
         seed = _arrow.mix64(j.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
-        place = ((_arrow.mix64(e ^ seed[rows]) >> _HALF) * parts[rows].astype(np.uint64)) >> _HALF
-        key = (rows.astype(np.uint64) << np.uint64(36)) | place
-        order = np.argsort(key, kind="stable")
+        x = _arrow.mix64(e ^ seed[rows])
+        part = ((x >> _HALF) * parts_of_band(j)[rows].astype(np.uint64)) >> _HALF
+        cell = ((x & np.uint64(0xFFFFFFFF)) * np.uint64(3)) >> _HALF
+        key = (rows.astype(np.uint64) << np.uint64(40)) | (part << np.uint64(2)) | cell
+        order = np.argsort(key)
         key = key[order]
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        total = np.add.reduceat(mixed[these][order], begin) if len(begin) else np.zeros(0, np.uint64)
-        row = (key[begin] >> np.uint64(36)).astype(np.int64)
-        sign = _arrow.mix64(total ^ _arrow.mix64(seed[row] + (key[begin] & np.uint64((1 << 36) - 1))))
-        full = np.bincount(row, minlength=len(n))
-        out.append((sign, row, np.ones(len(row), dtype=bool), np.full(len(row), lower == 0), full[row]))
-        rest = np.flatnonzero(takes & (full <= n // 3 - u))
-        out.append((_arrow.mix64(seed[rest] ^ np.uint64(0xE7037ED1A0B428DB)), rest, np.full(len(rest), lower == 0), np.full(len(rest), lower == 0), full[rest]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-
-def _signatures_of(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    elements, offs = _binary_elements(batch.column("elements"))
-    return signatures(elements, offs, _arrow.ints(batch.column("n")), _arrow.ints(batch.column("u")))
-
-
-def _may_meet(row: np.ndarray, own: np.ndarray, full: np.ndarray, kept: np.ndarray, n: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Whether a set has as many signatures that aren't alone as it shares with any set that it links with.
-
-    At most n / 3 - u parts differ from a larger set, and 2n / 7 - u from a smaller one in its band.
-    """
-    key = 2 * row + own
-    meets = np.bincount(key, weights=kept, minlength=2 * len(n))[key]
-    most = np.where(own, n[row] // 3, 2 * n[row] // 7) - u[row]
-    return meets >= full - most
-
-
-def _signed(shared):
-    """The signatures that may have come at least twice."""
-
-    def run(batches):
-        for batch in batches:
-            got = _signatures_of(batch)
-            kept = shared.value.test(got[0])
-            n, u = _arrow.ints(batch.column("n")), _arrow.ints(batch.column("u"))
-            kept &= _may_meet(got[1], got[3], got[4], kept, n, u)
-            sign, row, small, own, full = (x[kept] for x in got)
-            n, u = n[row].astype(np.int32), u[row].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(sign.view(np.int64)), batch.column("doc_id").take(pa.array(row)), pa.array(n), pa.array(u), pa.array(small), pa.array(own), pa.array(full.astype(np.int32))], names=["sign", "doc_id", "n", "u", "small", "own", "full"])
-
-    return run
+        key = key[begin]
+        sums = np.add.reduceat(mixed[these][order], begin) if len(begin) else np.zeros(0, np.uint64)
+        whole = key >> np.uint64(2)
+        new = np.concatenate(([True], whole[1:] != whole[:-1])) if len(key) else np.zeros(0, bool)
+        at, whole = np.cumsum(new) - 1, whole[new]
+        cells, full = np.zeros((len(whole), 3), np.uint64), np.zeros((len(whole), 3), np.int64)
+        in_part = (key & np.uint64(3)).astype(np.int64)
+        cells[at, in_part] = sums
+        full[at, in_part] = 1
+        row = (whole >> np.uint64(38)).astype(np.int64)
+        base = seed[row] + (whole & np.uint64((1 << 38) - 1)) * np.uint64(4)
+        for left_out in range(3):
+            some = full.sum(axis=1) > full[:, left_out]
+            total = cells.sum(axis=1, dtype=np.uint64) - cells[:, left_out]
+            signs.append(_arrow.mix64(total ^ _arrow.mix64(base + np.uint64(left_out)))[some])
+            rows_of.append(row[some])
+        sure = np.bincount(row[full.sum(axis=1) > 1], minlength=len(n))
+        sparse |= takes & (sure <= differ // 2)
+    return np.concatenate(signs), np.concatenate(rows_of), sparse
+
+
+def _signed(batches):
+    """(sign, v, u, null) for the best member of a batch's group; (any, v, u, pivot) for its other members, and (any, v, u, v) for a sparse set."""
+    for batch in batches:
+        elements, offs = _binary_elements(batch.column("elements"))
+        v, n, u = (_arrow.ints(batch.column(c)) for c in ("v", "n", "u"))
+        sign, row, sparse = signatures(elements, offs, n, u)
+        rank = np.empty(len(v), dtype=np.int64)
+        rank[np.lexsort((v, u))] = np.arange(len(v))
+        order = np.lexsort((rank[row], sign))
+        sign, row = sign[order], row[order]
+        first = np.concatenate(([True], sign[1:] != sign[:-1])) if len(sign) else np.zeros(0, bool)
+        best = row[first]
+        pivot = best[np.cumsum(first) - 1][~first] if len(sign) else row
+        pairs = np.unique(np.column_stack([v[row[~first]], v[pivot]]), axis=0)
+        pairs = np.concatenate([pairs[pairs[:, 0] != pairs[:, 1]], np.column_stack([v[sparse], v[sparse]])])
+        anywhere = _arrow.mix64(pairs[:, 0].view(np.uint64) * np.uint64(3) + pairs[:, 1].view(np.uint64)) if len(pairs) else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([sign[first], anywhere]).view(np.int64)),
+                pa.array(np.concatenate([v[best], pairs[:, 0]])),
+                pa.array(np.concatenate([u[best], np.zeros(len(pairs), np.int64)]).astype(np.int32)),
+                pa.array(np.concatenate([np.zeros(len(best), np.int64), pairs[:, 1]]), mask=np.arange(len(best) + len(pairs)) < len(best)),
+            ],
+            names=["sign", "v", "u", "pivot"],
+        )
 
 
 def _binary_elements(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -279,75 +309,173 @@ def _verified(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _side(sets: DataFrame, v: str, columns: list[str]) -> DataFrame:
+    return sets.select(F.col("v").alias(v), *(F.col(c).alias(c + v) for c in columns))
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links among pairs(a, b)."""
-    side = lambda v: sets.select(F.col("doc_id").alias(v), F.col("n").alias(f"n{v}"), F.col("elements").alias(f"e{v}"))
-    full = pairs.join(side("a"), "a").join(side("b"), "b")
-    return full.select("a", "b", "na", "nb", "ea", "eb").mapInArrow(_verified, "a long, b long")
+    full = pairs.select("a", "b").join(_side(sets, "a", ["n", "elements"]), "a").join(_side(sets, "b", ["n", "elements"]), "b")
+    return full.selectExpr("a", "b", "na", "nb", "elementsa AS ea", "elementsb AS eb").mapInArrow(_verified, "a long, b long")
 
 
-def _can_link(n1, u1, n2, u2):
-    return (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (7 * (u1 + u2) <= n1 + n2)
+def _bucket_counts(col: pa.Array) -> np.ndarray:
+    col = col.cast(pa.large_binary())
+    raw = np.frombuffer(col.buffers()[2], np.uint8) if len(col) else np.zeros(0, np.uint8)
+    first = col.offset and int(np.frombuffer(col.buffers()[1], np.int64)[col.offset])
+    return raw[first : first + len(col) * BUCKETS].reshape(-1, BUCKETS)
 
 
-def _of_smaller(n1, own1, n2, own2):
-    """Whether a group belongs to the band of the smaller set, where the pair must meet."""
-    return F.when(n1 <= n2, own1).otherwise(own2)
+def _near(n1, u1, c1, n2, u2, c2):
+    """Whether sizes, shingles outside and bucket counts allow a link."""
+    apart = np.abs(c1.astype(np.int16) - c2.astype(np.int16)).sum(axis=1)
+    return (4 * np.minimum(n1, n2) >= 3 * np.maximum(n1, n2)) & (7 * (u1 + u2 + apart) <= n1 + n2)
 
 
-def linked_components(docs: DataFrame, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+def _near_pairs(batches):
+    for batch in batches:
+        n1, u1, n2, u2 = (_arrow.ints(batch.column(c)) for c in ("na", "ua", "nb", "ub"))
+        keep = _near(n1, u1, _bucket_counts(batch.column("countsa")), n2, u2, _bucket_counts(batch.column("countsb")))
+        yield batch.select(["a", "b", "ub"]).filter(pa.array(keep))
+
+
+def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs(a, b) that may link, with b's u."""
+    columns = ["n", "u", "counts"]
+    full = pairs.select("a", "b").join(_side(sets, "a", columns), "a").join(_side(sets, "b", columns), "b")
+    return full.select("a", "b", "ub", "na", "ua", "nb", "countsa", "countsb").mapInArrow(_near_pairs, "a long, b long, ub long")
+
+
+def _rows_of_shingles(batches):
+    """A row (e, v, d1, n, label) for each shingle of the domain in a set."""
+    for batch in batches:
+        elements, offs = _binary_elements(batch.column("elements"))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(offs))
+        for at in range(0, max(len(row), 1), 1 << 18):
+            these = pa.array(row[at : at + (1 << 18)])
+            yield pa.RecordBatch.from_arrays([pa.array(elements[at : at + (1 << 18)].view(np.int64)), *(batch.column(c).take(these) for c in ("v", "d1", "n", "label"))], names=["e", "v", "d1", "n", "label"])
+
+
+def _compared(batches):
+    """Rows sorted by (e, i, j) -> pairs of different labels that may link; between blocks i and j if they differ.
+
+    Counts go with the shingles outside the whole domain (u); those that no other component has (outside) are a bound of their own.
+    """
+    names = ["v", "own", "n", "u", "outside", "label"]
+    held: list[tuple] = []
+
+    def pairs(group: dict, counts: np.ndarray, across: bool):
+        order = np.lexsort((group["n"], group["own"])) if across else np.argsort(group["n"], kind="stable")
+        v, own, n, u, outside, label = (group[c][order] for c in names)
+        counts = counts[order]
+        for x in range(len(v) - 1):
+            # of a block the sizes rise, so partners are a stretch of rows
+            lo, hi = (int(np.searchsorted(own, own[x], "right")), len(v)) if across else (x + 1, len(v))
+            hi = lo + int(np.searchsorted(3 * n[lo:hi], 4 * n[x], "right"))
+            y = np.arange(lo, hi)[(label[lo:hi] != label[x]) & (7 * (outside[lo:hi] + outside[x]) <= n[lo:hi] + n[x])]
+            if len(y):
+                y = y[_near(n[x], u[x], counts[x : x + 1], n[y], u[y], counts[y])]
+                yield from zip(np.minimum(v[x], v[y]).tolist(), np.maximum(v[x], v[y]).tolist(), strict=True)
+
+    def close():
+        got, across = {c: np.concatenate([h[1][c] for h in held]) for c in names}, held[0][0][1] != held[0][0][2]
+        counts = np.concatenate([h[2] for h in held])
+        held.clear()
+        return pairs(got, counts, across) if len(got["v"]) > 1 and got["label"].min() < got["label"].max() else ()
+
+    def table(found):
+        found = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    for batch in batches:
+        keys = np.column_stack([_arrow.ints(batch.column(c)) for c in ("e", "i", "j")])
+        values, counts = {c: _arrow.ints(batch.column(c)) for c in names}, _bucket_counts(batch.column("counts"))
+        edges = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1), [True]))) if len(keys) else np.zeros(1, int)
+        found: set[tuple] = set()
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            key = tuple(keys[lo].tolist())
+            if held and held[0][0] != key:
+                found.update(close())
+            held.append((key, {c: x[lo:hi] for c, x in values.items()}, counts[lo:hi]))
+        yield table(found)
+    if held:
+        yield table(set(close()))
+
+
+def _left_over(rest: DataFrame, block: int) -> DataFrame:
+    """Pairs (a, b) of different labels that may link among rest(v, d1, n, u, label, counts, elements)."""
+    every = rest.select("v", "d1", "n", "label", "elements").mapInArrow(_rows_of_shingles, "e long, v long, d1 long, n long, label long")
+    met = every.groupBy("e").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("df")).where("low < high").select("e", "df")
+    one = W.partitionBy("v", "d1")
+    met = every.drop("label").join(met, "e").withColumn("inside", F.count(F.lit(1)).over(one))
+    met = met.where("4 * (n - inside) <= n").withColumn("place", F.row_number().over(one.orderBy("df", "e")))
+    prefix = met.where(F.col("place") <= F.col("inside") - F.ceil(F.col("n") * 3 / 4) + 1).select("e", "v", "d1", "df", (F.col("n") - F.col("inside")).alias("outside"))
+    rows = prefix.join(rest.select("v", "d1", "n", "u", "label", "counts"), ["v", "d1"])
+    blocks = F.ceil(F.col("df") / block).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("v"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("e", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "v", "own", "n", "u", "outside", "label", "counts")
+    return rows.repartition("e", "i", "j").sortWithinPartitions("e", "i", "j").mapInArrow(_compared, "a long, b long").distinct()
+
+
+def linked_components(docs: DataFrame, most_blocks: int = MOST_BLOCKS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
+    tables = Tables(spark)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = partition_keys(spark, n_parts)
 
-    def repeated(packed: DataFrame):
-        """A broadcast filter of the hashes that came at least twice, of most_blocks * 64 bytes at most."""
-        dealt = packed.repartition(n_parts, F.get(F.lit(keys), F.col("part"))).mapInArrow(_shared(max(1, most_blocks // n_parts)), "part int, bits binary")
-        return spark.sparkContext.broadcast(Shared(n_parts, [(r["part"], bytes(r["bits"])) for r in dealt.collect()]))
-
-    shared = repeated(docs.mapInArrow(_dealt_shingles(n_parts), "part int, low binary"))
+    dealt = docs.mapInArrow(_dealt_shingles(n_parts), "part int, low binary").repartition(n_parts, F.get(F.lit(keys), F.col("part")))
+    slices = dealt.mapInArrow(_shared(max(1, most_blocks // n_parts)), "part int, bits binary").collect()  # most_blocks * 64 bytes at most
+    shared = spark.sparkContext.broadcast(Shared(n_parts, [(r["part"], bytes(r["bits"])) for r in slices]))
+    del dealt, slices
     release(spark)
-    nodes = docs.mapInArrow(_nodes(shared), "doc_id long, n long, u long, d1 long, d2 long, elements binary").checkpoint()
+    nodes = tables.keep(docs.mapInArrow(_nodes(shared), "doc_id long, n long, u long, d1 long, d2 long, elements binary, counts binary, least long"))
 
     known = nodes.where("n > 0 AND doc_id IS NOT NULL")
-    classes = known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")).checkpoint()
-    sets = known.where("elements IS NOT NULL").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = sets.dropDuplicates(["doc_id", "d1", "d2"]).select("doc_id", "n", "u", "elements").checkpoint()
-
-    release(spark)
-    twice = repeated(sets.mapInArrow(_dealt_signatures(n_parts), "part int, low binary"))
-    signed = sets.mapInArrow(_signed(twice), "sign long, doc_id long, n int, u int, small boolean, own boolean, full int")
-    groups = signed.groupBy("sign").agg(F.min(F.struct("u", "doc_id", "n", "own")).alias("pivot"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("small").alias("small"))
-    groups = groups.where("low <> high AND small").select("sign", "pivot").checkpoint()
-    columns = ["sign", "doc_id", "n", "u", "own", "full"]
-    members = signed.select(*columns).join(groups, "sign").select(*columns, "pivot").checkpoint()
-    pivot = lambda c: F.col(f"pivot.{c}")
-    stars = members.where((F.col("doc_id") != pivot("doc_id")) & _can_link(F.col("n"), F.col("u"), pivot("n"), pivot("u")) & _of_smaller(F.col("n"), F.col("own"), pivot("n"), pivot("own"))).select(pivot("doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _verify(stars.checkpoint(), sets).checkpoint()
+    classes = tables.keep(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("v")))
+    sets = known.where("elements IS NOT NULL").join(classes.select(F.col("v").alias("doc_id"), "d1", "d2", "n"), ["doc_id", "d1", "d2", "n"], "left_semi")
+    sets = sets.select(F.col("doc_id").alias("v"), "d1", "d2", "n", "u", "elements", "counts", "least").dropDuplicates(["v", "d1", "d2"])
+    sets = tables.keep(sets.repartition("least").sortWithinPartitions("least"))
     release(spark)
 
-    labels = components(links).withColumnRenamed("node", "doc_id")
-    labelled = members.join(labels, "doc_id", "left").select(*columns, F.coalesce("component", "doc_id").alias("label"), pivot("doc_id").alias("pivot_id"))
-    mixed = labelled.groupBy("sign").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("sign", "size")
-    left = labelled.join(mixed, "sign")
-    # In a group of several components, every pair of different ones that may link; stars have been compared.
-    # Sets that link agree in all parts but those with differences. So they meet in that many groups, and, with all groups
-    # in one order (other groups first, then by size), already within the first of each, one more than may differ.
-    w = W.partitionBy("doc_id", "own")
-    place = F.col("full") - F.count(F.lit(1)).over(w) + F.row_number().over(w.orderBy("size", "sign"))
-    left = left.withColumn("place", place).where(F.col("place") <= F.floor(F.col("n") / 3) - F.col("u") + 1).checkpoint()
-    a, b = left.alias("a"), left.alias("b")
-    apart = (F.col("a.sign") == F.col("b.sign")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.label") != F.col("b.label")) & (F.col("a.doc_id") != F.col("a.pivot_id")) & (F.col("b.doc_id") != F.col("b.pivot_id"))
-    sizes = [F.col(f"{x}.{c}") for x in "ab" for c in ("n", "u")]
-    met = a.join(b, apart & _can_link(*sizes) & _of_smaller(F.col("a.n"), F.col("a.own"), F.col("b.n"), F.col("b.own")))
-    more = met.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
-    found = _verify(more.checkpoint(), sets)
-    labels = components(links.unionByName(found)).withColumnRenamed("node", "rep")
-
-    classes = classes.join(labels, "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id")).checkpoint()
-    out = nodes.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
+    signed = sets.select("v", "n", "u", "elements").mapInArrow(_signed, "sign long, v long, u int, pivot long")
+    group = W.partitionBy("sign").orderBy("u", "v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    stars = signed.withColumn("best", F.first("v").over(group)).where("pivot IS NOT NULL OR v <> best")
+    stars = tables.keep(stars.select(F.col("v").alias("a"), F.coalesce("pivot", "best").alias("b")).distinct())
+    release(spark)
+    possible = tables.keep(_possible(stars.where("a <> b"), sets))
+    tried = tables.keep(possible.groupBy("a").agg(F.min(F.struct("ub", "b")).alias("best")).select("a", "best.b"))
+    links = tables.keep(_verify(tried, sets))
+
+    def labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        for c in ("a", "b"):
+            pairs = pairs.join(labels.select(F.col("v").alias(c), F.col("label").alias(f"l{c}")), c, "left").withColumn(f"l{c}", F.coalesce(f"l{c}", c))
+        return pairs
+
+    def labels_of(links: DataFrame) -> DataFrame:
+        return components(links).select(F.col("node").alias("v"), F.col("component").alias("label"))
+
+    apart = labelled(possible.select("a", "b").join(tried, ["a", "b"], "left_anti"), labels_of(links)).where("la <> lb")
+    more = tables.keep(_verify(tables.keep(apart.select("a", "b")), sets))
+    links = links.unionByName(more)
+    labels = labels_of(links)
+
+    # Sets of groups that hold several components (the pivots of such groups, theirs, and all that were compared with them), and sparse sets.
+    bad = labelled(stars.where("a <> b"), labels).where("la <> lb").select(F.col("b").alias("v"))
+    above = stars.join(bad.withColumnRenamed("v", "a"), "a", "left_semi").select(F.col("b").alias("v"))
+    for _ in range(2):
+        bad = tables.keep(bad.unionByName(above).distinct())
+        above = stars.join(bad.withColumnRenamed("v", "b"), "b", "left_semi").select(F.col("a").alias("v"))
+    rest = tables.keep(bad.unionByName(above).unionByName(stars.where("a = b").select(F.col("a").alias("v"))).distinct())
+    if not rest.isEmpty():
+        rest = sets.join(rest, "v", "left_semi").join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+        links = links.unionByName(_verify(tables.keep(_left_over(rest, block)), sets))
+    links = tables.keep(links)
+    tables.drop(sets)
+
+    found = tables.keep(classes.join(labels_of(links), "v", "left").select("d1", "d2", "n", F.coalesce("label", "v").alias("component_id")))
+    out = nodes.select("doc_id", "n", "d1", "d2").join(found, ["d1", "d2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from seriesforge.llm import jaccard_join, substring_dedup
 from seriesforge.llm.components import components
@@ -195,10 +196,38 @@ def test_signatures_meet():
         if not len(t) or 100 * both < 75 * (a + added):
             continue
         n = np.array([len(s), len(t)])
-        sign, row, _, own, full = jaccard_join.signatures(np.concatenate([s, t]), np.array([0, len(s), len(s) + len(t)]), n, np.zeros(2, np.int64))
-        small = 0 if n[0] <= n[1] else 1
-        met = set(sign[(row == small) & own]) & set(sign[row == 1 - small])
-        assert len(met) >= max(1, full[(row == small) & own][0] - (n.sum() // 7))
+        sign, row, sparse = jaccard_join.signatures(np.concatenate([s, t]), np.array([0, len(s), len(s) + len(t)]), n, np.zeros(2, np.int64))
+        assert sparse.all() or set(sign[row == 0]) & set(sign[row == 1])
+
+
+def test_every_choice_of_two_cells_is_a_signature():
+    """A part whose cells all have shingles gives three signatures, and a change in one cell leaves one of them."""
+    e = np.random.default_rng(1).integers(0, 1 << 63, 400, dtype=np.uint64)
+    n, none = np.array([400]), np.zeros(1, np.int64)
+    sign, _, sparse = jaccard_join.signatures(e, np.array([0, 400]), n, none)
+    assert not sparse[0] and len(set(sign)) == len(sign) > 2 * jaccard_join.parts_of_band(np.searchsorted(jaccard_join.TOPS, n))[0]
+    other, _, _ = jaccard_join.signatures(e[1:], np.array([0, 399]), n - 1, none)
+    # the shingle lies in one part of each of the two instances, and each keeps the choice that leaves its cell out
+    assert len(set(sign) - set(other)) == 4
+
+
+def test_left_over_sets_in_blocks(make_docs, monkeypatch):
+    """Many sets that share a passage but don't link: groups of one prefix shingle in several blocks."""
+    rng = random.Random(9)
+    some = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    passage, others = some(60), [some(18) for _ in range(12)]
+    rows = [(i, " ".join(passage + others[i % 12][: rng.randrange(12, 19)] + some(rng.randrange(0, 6)))) for i in range(90)]
+    got = jaccard_join.linked_components(make_docs(rows).repartition(3), block=7).collect()
+    assert sorted([tuple(r) for r in got], key=str) == linked(rows)
+
+
+@pytest.mark.parametrize("order", ["rising", "falling", "random"])
+def test_components_of_a_long_chain(spark, order):
+    """10,000 documents in a chain: the rounds grow with the logarithm."""
+    ids = list(range(10_000))
+    ids = ids[::-1] if order == "falling" else random.Random(3).sample(ids, len(ids)) if order == "random" else ids
+    got = components(spark.createDataFrame(list(zip(ids[:-1], ids[1:], strict=True)), "a long, b long"))
+    assert got.agg({"node": "count", "component": "max"}).first().asDict() == {"count(node)": 10_000, "max(component)": 0}
 
 
 def test_graph_components(spark):
