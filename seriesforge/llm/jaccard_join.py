@@ -55,7 +55,7 @@ SHINGLE = 5
 #: Counts of a set by the top bits of its shingles.
 BUCKETS = 64
 #: Rows of a prefix shingle that are compared in one go.
-BLOCK = 2048
+BLOCK = 512
 _HALF = np.uint64(32)
 
 

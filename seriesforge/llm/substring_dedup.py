@@ -7,21 +7,23 @@
 2. Passages. The windows of one anchor occurrence form a passage of 20 to 32 words.
    Passages with a recurring anchor are sent, once for each batch of rows and equal text, to the
    shard of their anchor. Recurring anchors are kept in a blocked Bloom filter of
-   bounded size; a false hit only sends a passage for nothing. Anchors with very many
-   occurrences are sent window by window, by the window's own hash, so that no shard
-   has to hold all that surrounds a common line.
-3. Automata. A shard confirms which windows recur: for each anchor whose passages
-   differ it compiles an Aho-Corasick automaton (pyahocorasick) of all windows, words
-   being its letters, and streams the passages through it. Each window's first place is known then; a
-   passage's first occurrence gets a mask of the windows that start earlier elsewhere.
+   bounded size; a false hit only sends a passage for nothing. Around an anchor with very many
+   occurrences most windows differ, as what surrounds a common line does: there the windows
+   are counted themselves, a passage is a run of windows that recur, and each task sends it once.
+3. Automata. A shard takes its passages anchor by anchor, and compiles an Aho-Corasick automaton
+   (pyahocorasick) of all their windows, words being its letters, with the first place of each; some
+   ``SHARD`` passages share an automaton. All passages are streamed through it: a passage's first
+   occurrence gets a mask of the windows that start earlier elsewhere.
 4. Every occurrence in every document is joined with its passage's result: all
-   windows of a later occurrence are repeats, those of the first as the mask says.
+   windows of a later occurrence are repeats, those of the first as the mask says. A passage
+   is one row, however many windows it has.
 
 Places are ordered by (doc_id, word number). Cuts belong to a row's id and text (its
 64-bit hash and size), so rows with one id, or none, don't get each other's. Cases: a
 null text has no words; a null id comes before all others; rows with one id are one
 place in that order, so they aren't earlier than each other; texts of under 20 words are kept whole; empty tables
-give an empty result; further columns are ignored.
+give an empty result; further columns are ignored, or kept (dedup_texts replaces a column n_removed).
+A task holds the different passages of one anchor; around a common anchor, only those that recur.
 """
 
 from __future__ import annotations
@@ -37,16 +39,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _arrow
+from ._session import release
 
 WINDOW, ANCHOR = 20, 8
-#: Occurrences from which an anchor is treated window by window.
+#: Occurrences from which the windows of an anchor are counted themselves.
 COMMON = 128
+#: Passages of an automaton, about, and those of common anchors that a task keeps before it sends them.
+SHARD, HELD = 2000, 20_000
 #: Blocks of 64 bytes in a filter, at most: 32 MB.
 MOST_BLOCKS = 1 << 19
 _NULL_ID = -(1 << 63)
 #: Helper columns beside the caller's own: the id, and what tells texts of one id apart.
-_PLACE, _TEXT = "__place", ("__text", "__size")
-_COVERS = {"starts": "__starts", "masks": "__masks", "mores": "__mores"}
+_PLACE, _TEXT = "place", ("text_hash", "text_size")
+_COVERS = ("starts", "masks", "mores")
 
 
 def _text_key() -> dict[str, Column]:
@@ -78,16 +83,27 @@ class Runs:
         for k in ("first", "row", "anchor", "windows", "start"):
             setattr(self, k, getattr(self, k)[these])
 
-    def split(self, common: np.ndarray) -> None:
-        """Each window of a common anchor becomes a passage of its own."""
-        many = np.where(common, self.windows, 1)
-        self.common = np.repeat(common, many)
-        step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-        for k in ("first", "start"):
-            setattr(self, k, np.repeat(getattr(self, k), many) + step)
-        for k in ("row", "anchor"):
-            setattr(self, k, np.repeat(getattr(self, k), many))
-        self.windows = np.where(self.common, 1, np.repeat(self.windows, many))
+    def windows_of(self, these: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first word of each window of these runs, and its run."""
+        run = np.repeat(np.flatnonzero(these), self.windows[these])
+        many = self.windows[these]
+        return self.first[run] + np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many), run
+
+    def narrow(self, common: np.ndarray, values: np.ndarray, hot) -> None:
+        """Runs of common anchors become runs of windows that recur."""
+        at, run = self.windows_of(common)
+        at, run = (x[hot.test(digests(values, at, np.full(len(at), WINDOW))[0])] for x in (at, run))
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (run[1:] != run[:-1]) | (at[1:] != at[:-1] + 1)
+        begin = np.flatnonzero(new)
+        of, rest = run[begin], np.flatnonzero(~common)
+        start = self.start[of] + at[begin] - self.first[of]
+        parts = {"first": at[begin], "start": start, "windows": np.diff(np.append(begin, len(at))), "row": self.row[of], "anchor": self.anchor[of], "common": np.ones(len(of), bool)}
+        self.common = np.zeros(len(self.first), bool)
+        merged = {k: np.concatenate([getattr(self, k)[rest], x]) for k, x in parts.items()}
+        order = np.argsort(merged["first"], kind="stable")
+        for k, x in merged.items():
+            setattr(self, k, x[order])
 
 
 def digests(values: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,123 +158,186 @@ def _anchors(batches):
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
 
+def _common_windows(common):
+    """The windows of common anchors, counted."""
+
+    def run(batches):
+        for *_, word_offs, values in _chunks(batches):
+            runs = Runs(values, word_offs)
+            at, _ = runs.windows_of(common.value.test(runs.anchor))
+            h, n = np.unique(digests(values, at, np.full(len(at), WINDOW))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    return run
+
+
 def _ids(batch, lo: int, hi: int) -> np.ndarray:
     return batch.column("doc_id")[lo:hi].fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
 
 
-def _passages(recurring, common, with_text: bool):
-    """With text: each different passage of a chunk once. Without: every occurrence."""
+def _found_passages(batches, recurring, common, hot):
+    for batch, lo, hi, buf, starts, ends, word_offs, values in _chunks(batches):
+        runs = Runs(values, word_offs)
+        runs.keep(recurring.value.test(runs.anchor))
+        runs.narrow(common.value.test(runs.anchor), values, hot.value)
+        if len(runs.first):
+            length = runs.windows + WINDOW - 1
+            yield batch, lo, hi, buf, starts, ends, runs, length, *digests(values, runs.first, length), _ids(batch, lo, hi)[runs.row]
+
+
+_PASSAGE = {"k": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "doc_id": pa.int64(), "start": pa.int32(), "n": pa.int64(), "passage": pa.binary()}
+
+
+def _passages(recurring, common, hot):
+    """Each different passage of a chunk once, with its first place and number; those of common anchors once a task, or nearly."""
 
     def run(batches):
-        for batch, lo, hi, buf, starts, ends, word_offs, values in _chunks(batches):
-            runs = Runs(values, word_offs)
-            runs.keep(recurring.value.test(runs.anchor))
-            runs.split(common.value.test(runs.anchor))
-            if not len(runs.first):
-                continue
-            length = runs.windows + WINDOW - 1
-            d1, d2 = digests(values, runs.first, length)
-            ids = _ids(batch, lo, hi)[runs.row]
-            if with_text:
-                order = np.lexsort((runs.start, ids, d2, d1))
-                new = np.ones(len(order), dtype=bool)
-                new[1:] = (d1[order][1:] != d1[order][:-1]) | (d2[order][1:] != d2[order][:-1])
-                at = np.flatnonzero(new)
-                pick, n = order[at], np.diff(np.append(at, len(order)))
-                a, b = starts[runs.first[pick]], ends[runs.first[pick] + length[pick] - 1]
-                raw = buf.tobytes()
-                texts = [b" ".join(raw[x:y].split()) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                columns = {"k": np.where(runs.common[pick], d1[pick], runs.anchor[pick]).view(np.int64), "d1": d1[pick].view(np.int64), "d2": d2[pick].view(np.int64), "doc_id": ids[pick], "start": runs.start[pick].astype(np.int32), "n": n.astype(np.int64)}
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns.values()), pa.array(texts, pa.binary())], names=[*columns, "passage"])
-            else:
-                # a word that is repeated on and on gives one row
-                same = np.zeros(len(d1), dtype=bool)
-                same[1:] = (d1[1:] == d1[:-1]) & (d2[1:] == d2[:-1]) & (runs.row[1:] == runs.row[:-1]) & (runs.first[1:] == runs.first[:-1] + 1) & (runs.windows[1:] == 1) & (runs.windows[:-1] == 1)
-                at = np.flatnonzero(~same)
-                more = np.diff(np.append(at, len(d1))) - 1
-                text = {c: batch.column(c)[lo:hi].fill_null(0).to_numpy(zero_copy_only=False)[runs.row[at]] for c in _TEXT}
-                columns = {"d1": d1[at].view(np.int64), "d2": d2[at].view(np.int64), "doc_id": ids[at], **text, "start": runs.start[at].astype(np.int32), "windows": runs.windows[at].astype(np.int32), "more": more.astype(np.int32)}
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns.values())], names=list(columns))
+        held: dict[tuple, list] = {}
+
+        def table(rows):
+            columns = list(zip(*rows, strict=True)) or [[]] * len(_PASSAGE)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PASSAGE.values(), strict=True)], names=list(_PASSAGE))
+
+        def flush():
+            rows = [(*key, *place, n, text) for key, (place, n, text) in held.items()]
+            held.clear()
+            return table(rows)
+
+        for _, _, _, buf, starts, ends, runs, length, d1, d2, ids in _found_passages(batches, recurring, common, hot):
+            order = np.lexsort((runs.start, ids, d2, d1))
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (d1[order][1:] != d1[order][:-1]) | (d2[order][1:] != d2[order][:-1])
+            at = np.flatnonzero(new)
+            pick, n = order[at], np.diff(np.append(at, len(order)))
+            a, b = starts[runs.first[pick]], ends[runs.first[pick] + length[pick] - 1]
+            raw = buf.tobytes()
+            signed = lambda x: x[pick].view(np.int64).tolist()
+            rows = []
+            for x, y, k, one, two, doc, start, many, often in zip(a.tolist(), b.tolist(), signed(runs.anchor), signed(d1), signed(d2), ids[pick].tolist(), runs.start[pick].tolist(), n.tolist(), runs.common[pick].tolist(), strict=True):
+                got = held.get((k, one, two)) if often else None
+                if got is not None:
+                    got[0], got[1] = min(got[0], (doc, start)), got[1] + many
+                elif often:
+                    held[k, one, two] = [(doc, start), many, b" ".join(raw[x:y].split())]
+                else:
+                    rows.append((k, one, two, doc, start, many, b" ".join(raw[x:y].split())))
+            yield table(rows)
+            if len(held) > HELD:
+                yield flush()
+        if held:
+            yield flush()
 
     return run
 
 
-def first_places(passages: list[tuple[list[bytes], tuple[int, int]]], window: int = WINDOW) -> list[int]:
-    """For passages (words, first place), the mask of each one's windows that start earlier in another passage."""
-    letters: dict[bytes, str] = {}
-    texts = []
-    for words, _ in passages:
-        texts.append("".join([letters.setdefault(w, chr(0xE000 + len(letters))) for w in words]))
-    first: dict[str, tuple[int, int]] = {}
-    for text, (_, (doc, start)) in zip(texts, passages, strict=True):
-        for b in range(len(text) - window + 1):
-            key, place = text[b : b + window], (doc, start + b)
-            if key not in first or place < first[key]:
-                first[key] = place
-    automaton = ahocorasick.Automaton()
-    for key, place in first.items():
-        automaton.add_word(key, place)
-    automaton.make_automaton()
-    out = []
-    for text, (_, (doc, start)) in zip(texts, passages, strict=True):
-        mask = 0
-        for end, place in automaton.iter(text):
-            b = end - window + 1
-            if place < (doc, start + b):
-                mask |= 1 << b
-        out.append(mask)
-    return out
+def _occurrences(recurring, common, hot):
+    """Every occurrence of a passage in every row."""
+
+    def run(batches):
+        for batch, lo, hi, *_, runs, _, d1, d2, ids in _found_passages(batches, recurring, common, hot):
+            # a word that is repeated on and on gives one row
+            same = np.zeros(len(d1), dtype=bool)
+            same[1:] = (d1[1:] == d1[:-1]) & (d2[1:] == d2[:-1]) & (runs.row[1:] == runs.row[:-1]) & (runs.first[1:] == runs.first[:-1] + 1) & (runs.windows[1:] == 1) & (runs.windows[:-1] == 1)
+            at = np.flatnonzero(~same)
+            more = np.diff(np.append(at, len(d1))) - 1
+            text = {c: batch.column(c)[lo:hi].fill_null(0).to_numpy(zero_copy_only=False)[runs.row[at]] for c in _TEXT}
+            columns = {"d1": d1[at].view(np.int64), "d2": d2[at].view(np.int64), "doc_id": ids[at], **text, "start": runs.start[at].astype(np.int32), "windows": runs.windows[at].astype(np.int32), "more": more.astype(np.int32)}
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns.values())], names=list(columns))
+
+    return run
+
+
+class Shard:
+    """Passages (of whole anchors) and the automaton of their windows; tells which windows start earlier elsewhere."""
+
+    def __init__(self, window: int = WINDOW):
+        self.window = window
+        self.automaton = ahocorasick.Automaton()
+        self.letters: dict[bytes, str] = {}
+        self.texts: list[tuple[str, tuple[int, int]]] = []
+
+    def add(self, words: list[bytes], place: tuple[int, int]) -> None:
+        """A passage with its first place. A letter is a word; there are a million from U+E000 on."""
+        text = "".join([self.letters.setdefault(w, chr(0xE000 + len(self.letters))) for w in words])
+        self.texts.append((text, place))
+        doc, start = place
+        for b in range(len(text) - self.window + 1):
+            key, here = text[b : b + self.window], (doc, start + b)
+            known = self.automaton.get(key, None)
+            if known is None or here < known:
+                self.automaton.add_word(key, here)
+
+    def masks(self) -> list[int]:
+        """For each passage, the bits of its windows that the automaton finds with an earlier first place."""
+        if not self.texts:
+            return []
+        self.automaton.make_automaton()
+        out = []
+        for text, (doc, start) in self.texts:
+            mask = 0
+            for end, first in self.automaton.iter(text):
+                b = end - self.window + 1
+                if first < (doc, start + b):
+                    mask |= 1 << b
+            out.append(mask)
+        return out
 
 
 def _confirm(batches):
     """Rows sorted by (k, d1, d2) -> a row for each passage that has a repeat: its first place and mask."""
-    out: list[tuple] = []
-    key, group = None, []
-
-    def close():
-        classes: list[list] = []
-        for d1, d2, doc, start, n, text in group:
-            if classes and classes[-1][0] == d1 and classes[-1][1] == d2:
-                c = classes[-1]
-                c[2] = min(c[2], (doc, start))
-                c[3] += n
+    classes: list[list] = []  # k, d1, d2, first place, n, passage
+    begin = 0  # of the last anchor's
+
+    def close(end: int):
+        """The table of the first ``end`` classes, which are all of their anchors."""
+        shard, alone = Shard(), []
+        for i, c in enumerate(classes[:end]):
+            single = c[4] == 1 and (i == 0 or classes[i - 1][0] != c[0]) and (i + 1 == end or classes[i + 1][0] != c[0])
+            if single:  # a false hit of the filter: nothing that it could repeat
+                alone.append(i)
             else:
-                classes.append([d1, d2, (doc, start), n, text])
-        masks = first_places([(c[4].split(b" "), c[2]) for c in classes]) if len(classes) > 1 else [0]
-        out.extend((c[0], c[1], *c[2], m) for c, m in zip(classes, masks, strict=True) if c[3] > 1 or m)
-
-    def table():
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        out.clear()
+                shard.add(c[5].split(b" "), c[3])
+        masks = iter(shard.masks())
+        skip = set(alone)
+        rows = [(c[1], c[2], *c[3], m) for i, c in enumerate(classes[:end]) if i not in skip and ((m := next(masks)) or c[4] > 1)]
+        del classes[:end]
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["d1", "d2", "first_doc", "first_start", "mask"])
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("k", "d1", "d2", "doc_id", "start", "n", "passage")), strict=True):
-            if row[0] != key:
-                if group:
-                    close()
-                key, group = row[0], []
-            group.append(row[1:])
-        yield table()
-    if group:
-        close()
-    yield table()
+        for k, d1, d2, doc, start, n, text in zip(*(batch.column(c).to_pylist() for c in _PASSAGE), strict=True):
+            if classes and classes[-1][:3] == [k, d1, d2]:
+                classes[-1][3] = min(classes[-1][3], (doc, start))
+                classes[-1][4] += n
+                continue
+            if classes and classes[-1][0] != k:
+                begin = len(classes)
+                if begin >= SHARD:
+                    yield close(begin)
+                    begin = 0
+            classes.append([k, d1, d2, (doc, start), n, text])
+    yield close(len(classes))
 
 
 def covers(docs: DataFrame, most_blocks: int = MOST_BLOCKS) -> DataFrame:
-    """doc_id, __text, __size, cuts(start, mask, more): the repeated windows of each id and text that has any (null ids as the least long).
+    """doc_id, text_hash, text_size, cuts(start, mask, more): the repeated windows of each id and text that has any (null ids as the least long).
 
     Equal rows give equal cuts, which are kept once. Bit b of a mask stands for the window at start + b; ``more`` further windows follow the first one.
     """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    counted = docs.mapInArrow(_anchors, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    counted = counted.checkpoint()
+
+    def often(run, least: int) -> DataFrame:
+        return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).checkpoint()
+
+    counted = often(_anchors, 2)
     recurring, common = (spark.sparkContext.broadcast(bloom(counted.where(F.col("n") >= n).select("h"), most_blocks)) for n in (2, COMMON))
+    hot = spark.sparkContext.broadcast(bloom(often(_common_windows(common), 2).select("h"), most_blocks))
+    release(spark)
     dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    passages = docs.mapInArrow(_passages(recurring, common, True), "k long, d1 long, d2 long, doc_id long, start int, n long, passage binary")
+    passages = docs.mapInArrow(_passages(recurring, common, hot), "k long, d1 long, d2 long, doc_id long, start int, n long, passage binary")
     results = passages.repartition(dealt, "k").sortWithinPartitions("k", "d1", "d2").mapInArrow(_confirm, "d1 long, d2 long, first_doc long, first_start int, mask int")
-    occurrences = docs.withColumns(_text_key()).mapInArrow(_passages(recurring, common, False), "d1 long, d2 long, doc_id long, __text long, __size int, start int, windows int, more int")
+    occurrences = docs.withColumns(_text_key()).mapInArrow(_occurrences(recurring, common, hot), "d1 long, d2 long, doc_id long, text_hash long, text_size int, start int, windows int, more int")
     is_first = (F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
     every = F.expr("shiftleft(1, windows) - 1")
     found = occurrences.join(results, ["d1", "d2"]).select("doc_id", *_TEXT, "start", F.when(is_first, F.col("mask")).otherwise(every).alias("mask"), "more")
@@ -289,15 +368,15 @@ def removed_words(word_offs: np.ndarray, starts: np.ndarray, masks: np.ndarray,
     return np.cumsum(edge)[:n] > 0
 
 
-def _cut(batches):
+def _cut(batches, covers: list[str]):
     for batch in batches:
-        flat = {c: _lists(batch.column(name)) for c, name in _COVERS.items()}
+        flat = {c: _lists(batch.column(name)) for c, name in zip(_COVERS, covers, strict=True)}
         edges = np.concatenate(([0], np.cumsum(flat["starts"][1])))
         for lo, hi, buf, offs in _arrow.chunks(batch.column("text")):
             _, _, word_offs = _arrow.words(buf, offs)
             part = slice(edges[lo], edges[hi])
             rows = np.repeat(np.arange(hi - lo), flat["starts"][1][lo:hi])
-            gone = removed_words(word_offs, *(flat[c][0][part].astype(np.int64) for c in ("starts", "masks", "mores")), rows)
+            gone = removed_words(word_offs, *(flat[c][0][part].astype(np.int64) for c in _COVERS), rows)
             raw = buf.tobytes()
             kept, removed = [], []
             for i in range(hi - lo):
@@ -308,39 +387,46 @@ def _cut(batches):
             yield batch, lo, hi, np.diff(word_offs), removed, kept
 
 
-def _with_covers(docs: DataFrame, most_blocks: int) -> DataFrame:
-    cuts = [F.col(f"cuts.{c}").alias(name) for c, name in zip(("start", "mask", "more"), _COVERS.values(), strict=True)]
-    found = covers(docs, most_blocks).select(F.col("doc_id").alias(_PLACE), *_TEXT, *cuts)
-    keyed = docs.withColumns({_PLACE: F.coalesce("doc_id", F.lit(_NULL_ID).cast("long")), **_text_key()})
-    return keyed.join(found, [_PLACE, *_TEXT], "left").drop(_PLACE, *_TEXT)
+def _with_covers(docs: DataFrame, most_blocks: int) -> tuple[DataFrame, list[str]]:
+    """docs with the cuts of each row, and the names of the columns that hold them."""
+    own = "_"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    keys, names = [own + c for c in (_PLACE, *_TEXT)], [own + c for c in _COVERS]
+    found = covers(docs, most_blocks)
+    found = found.select(*(F.col(c).alias(k) for c, k in zip(("doc_id", *_TEXT), keys, strict=True)), *(F.col(f"cuts.{c}").alias(k) for c, k in zip(("start", "mask", "more"), names, strict=True)))
+    keyed = docs.withColumns(dict(zip(keys, (F.coalesce("doc_id", F.lit(_NULL_ID).cast("long")), *_text_key().values()), strict=True)))
+    return keyed.join(found, keys, "left").drop(*keys), names
 
 
 def removals(docs: DataFrame, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of docs(doc_id, text)."""
 
     def run(batches):
-        for batch, lo, hi, n_words, removed, kept in _cut(batches):
+        for batch, lo, hi, n_words, removed, kept in _cut(batches, names):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id")[lo:hi], pa.array(n_words), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    return _with_covers(docs.select("doc_id", "text"), most_blocks).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    covered, names = _with_covers(docs.select("doc_id", "text"), most_blocks)
+    return covered.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup_texts(docs: DataFrame, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     """docs with all their columns; text holds the kept words where words were removed, and n_removed is added."""
 
     def run(batches):
-        for batch, lo, hi, _, removed, kept in _cut(batches):
+        for batch, lo, hi, _, removed, kept in _cut(batches, names):
             own = batch.column("text")[lo:hi]
             text = pa.array([own[i].as_py() if not removed[i] else kept[i].decode("utf-8", "replace") for i in range(hi - lo)], own.type)
-            columns = {c: batch.column(c)[lo:hi] for c in names} | {"text": text}
+            columns = {c: batch.column(c)[lo:hi] for c in columns_kept} | {"text": text}
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(removed, pa.int64())], names=[*columns, "n_removed"])
 
     docs = docs.drop("n_removed")
-    names = docs.columns
-    return _with_covers(docs, most_blocks).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())]))
+    columns_kept = docs.columns
+    covered, names = _with_covers(docs, most_blocks)
+    return covered.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())]))
 
 
 ORACLE = r"""

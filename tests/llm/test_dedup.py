@@ -109,6 +109,27 @@ def test_dedup_texts_keeps_columns(make_docs):
     got = {r["doc_id"]: r.asDict() for r in substring_dedup.dedup_texts(make_docs(rows)).collect()}
     assert [got[i]["text"] for i in (1, 2, 3, 4)] == [rows[0][1], "a b", None, "x \n y"]
     assert got[2]["n_removed"] == 30 and got[2]["source"] == "src"
+    clash = make_docs(rows).selectExpr("*", "1 AS __starts", "2 AS _masks", "3 AS n_removed", "4 AS text_hash", "5 AS place")
+    got = {r["doc_id"]: r.asDict() for r in substring_dedup.dedup_texts(clash).collect()}
+    assert got[2]["n_removed"] == 30 and (got[2]["__starts"], got[2]["_masks"], got[2]["text_hash"], got[2]["place"]) == (1, 2, 4, 5)
+
+
+def test_result_needs_the_automaton(make_docs, monkeypatch):
+    """Without the automaton's hits the first occurrences keep what starts earlier elsewhere."""
+    rng = random.Random(4)
+    some = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    passage = some(40)
+    rows = [(i, " ".join(some(30) + passage[i % 7 : 33 + i % 8] + some(30))) for i in range(30)]
+    got = substring_dedup.removals(make_docs(rows).coalesce(1)).collect()
+    assert sorted([tuple(r) for r in got], key=str) == removed(rows)
+    shard = substring_dedup.Shard(3)
+    for words, place in (([b"a", b"b", b"c", b"d"], (2, 0)), ([b"x", b"b", b"c", b"d"], (1, 5))):
+        shard.add(words, place)
+    assert shard.masks() == [2, 0]
+    without = substring_dedup.Shard(3)
+    without.texts = shard.texts
+    without.automaton.add_word("none", (0, 0))
+    assert without.masks() == [0, 0]
 
 
 def test_empty(make_docs):
