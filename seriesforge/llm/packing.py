@@ -12,7 +12,7 @@ No shuffle: each partition packs its own rows; a sequence id is the partition
 number above 2**32 plus a running number, so a task that is run again gives the
 same rows.
 
-Cases: a null or empty text is one end-of-document token; repeated rows are packed
+Cases: a null or empty text is one end-of-document token; a null id stays null; repeated rows are packed
 one by one; an empty table gives no piece; further columns are ignored. A text is
 never cut short: each token lies in exactly one piece.
 """
@@ -20,6 +20,7 @@ never cut short: each token lies in exactly one piece.
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from array import array
 from collections import deque
@@ -36,7 +37,7 @@ from . import _arrow
 WINDOW, END_ID = 2048, 1
 SENTENCE_PENALTY, FORCED_PENALTY, FORCED_STEP = 2, 12, 16
 BLOCK = 1 << 19  # tokens for which the programme runs at once
-CACHED_WORDS, CACHED_STEMS = 400_000, 500_000
+CACHED_WORDS, CACHED_STEMS = 900_000, 700_000
 _TAIL = b".,%#&$*|;:!?"  # ASCII marks that never join the letters before them
 
 
@@ -50,6 +51,8 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # batches are small, and a task has one core: threads would cost more than they give
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         size = max(vocabulary.values()) + 1
@@ -83,22 +86,29 @@ class WordTokenizer:
         for (stem, _), got in zip(single, self.tokenizer.encode_batch_fast([t for _, t in single], add_special_tokens=False), strict=True):
             self.stems[stem] = np.array(got.ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: set[bytes]) -> None:
-        parts = []
+    def _learn(self, words: list[bytes]) -> None:
+        stems_of, tails = [], []
         for word in words:
             stem = word.rstrip(_TAIL)
-            if len(stem) < len(word) and stem[-1:].isalpha():
-                parts.append((word, stem.lower(), word[len(stem) :]))
+            if stem.isalpha() or stem and stem[-1] > 0x7F and stem.decode("utf-8", "replace")[-1].isalpha() or stem[-1:].isalpha():
+                stems_of.append(stem.lower())  # of bytes: A-Z only
+                tails.append(word[len(stem) :])
             else:
-                parts.append((word, word.lower() if word.isalpha() else word, b""))
+                stems_of.append(word)
+                tails.append(b"")
         if len(self.stems) > CACHED_STEMS:
             self.stems.clear()
-        self._encode(list({p for x in parts for p in x[1:] if p and p not in self.stems}))
-        stems, flat, first, known = self.stems, self.flat, self.first, self.known
-        for word, stem, tail in parts:
-            flat += stems[stem] + stems[tail] if tail else stems[stem]
-            known[word] = len(first) - 1
-            first.append(len(flat) // 4)
+        needed = set(stems_of)
+        needed.update(tails)
+        needed.discard(b"")
+        self._encode(list(needed.difference(self.stems)))
+        ids = list(map(self.stems.get, stems_of))
+        ends = [self.stems[t] if t else b"" for t in tails]
+        n = len(self.first) - 1
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) + np.fromiter(map(len, ends), np.int64, len(ends))
+        self.flat += b"".join(chain.from_iterable(zip(ids, ends, strict=True)))
+        self.first.frombytes((self.first[-1] + np.cumsum(sizes // 4)).tobytes())
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -109,7 +119,7 @@ class WordTokenizer:
         at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
-            self._learn({words[i] for i in missing})
+            self._learn(list({words[i] for i in missing}))
             at[missing] = [self.known[words[i]] for i in missing]
         first = np.frombuffer(self.first, np.int64)
         begin = first[at]
