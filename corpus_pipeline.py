@@ -8,14 +8,12 @@ an empty table.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesforge.llm import decontaminate, jaccard_join, packing, quality, substring_dedup
-from seriesforge.llm._session import prepare, shared_checkpoints
+from seriesforge.llm._session import Tables, prepare
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents with a lower quality score are rejected.
@@ -30,12 +28,16 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each group that links connect."""
+    """Keeps the document of least doc_id of each group that links connect.
+
+    A repeated row (the same id and text) stays once; rows of the kept id with other texts all stay.
+    """
     prepare(spark)
     docs = docs.select(COLUMNS)
     found = jaccard_join.linked_components(docs)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    one_each = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    numbered = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").withColumns({"text_hash": F.xxhash64("text"), "text_size": F.octet_length("text")})
+    one_each = numbered.dropDuplicates(["doc_id", "text_hash", "text_size"])
     return one_each.select(COLUMNS).unionByName(docs.where("doc_id IS NULL"))
 
 
@@ -67,17 +69,18 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: SQL can't express the classifier or the tokenizer; the tests hold run() against a brute-force version.
+#: SQL can't express the classifier or the tokenizer. Tests hold each stage against its operator's results, which have tests of their own.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written and read again in the shared folder."""
+    """The stages applied to documents, each written and read again in the shared folder; only the last table stays there."""
     prepare(spark)
-    folder = f"{shared_checkpoints(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    tables = Tables(spark)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        docs = tables.keep(stage(spark, docs, sf_dir))
+        if before is not None:
+            tables.drop(before)
+        before = docs
     return docs
