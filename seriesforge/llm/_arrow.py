@@ -8,13 +8,30 @@ longer than the limit forms a chunk of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
 
+
+
+def tidy(run: Callable) -> Callable:
+    """The function of batches, which at its end gives memory that is free again back to the system: a worker lives on with the next task."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+    return wrapped
+
+
 #: Word separators of the contracts: space and U+0009 to U+000D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

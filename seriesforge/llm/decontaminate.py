@@ -266,7 +266,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_share: float = MAX_S
                             names=["doc_id", "item_id", "n_edits", "n_words", "first_word"],
                         )
 
-        part = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, n_edits long, n_words long, first_word long")
+        part = docs.select("doc_id", "text").mapInArrow(_arrow.tidy(run), "doc_id long, item_id long, n_edits long, n_words long, first_word long")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -283,7 +283,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, max_share: float = MA
                     keep[[lo + row for row, _ in matches(buf, offs, index)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(_arrow.tidy(run), docs.schema)
     return docs
 
 

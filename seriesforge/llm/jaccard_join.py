@@ -316,7 +316,7 @@ def _side(sets: DataFrame, v: str, columns: list[str]) -> DataFrame:
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links among pairs(a, b)."""
     full = pairs.select("a", "b").join(_side(sets, "a", ["n", "elements"]), "a").join(_side(sets, "b", ["n", "elements"]), "b")
-    return full.selectExpr("a", "b", "na", "nb", "elementsa AS ea", "elementsb AS eb").mapInArrow(_verified, "a long, b long")
+    return full.selectExpr("a", "b", "na", "nb", "elementsa AS ea", "elementsb AS eb").mapInArrow(_arrow.tidy(_verified), "a long, b long")
 
 
 def _bucket_counts(col: pa.Array) -> np.ndarray:
@@ -343,7 +343,7 @@ def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs(a, b) that may link, with b's u."""
     columns = ["n", "u", "counts"]
     full = pairs.select("a", "b").join(_side(sets, "a", columns), "a").join(_side(sets, "b", columns), "b")
-    return full.select("a", "b", "ub", "na", "ua", "nb", "countsa", "countsb").mapInArrow(_near_pairs, "a long, b long, ub long")
+    return full.select("a", "b", "ub", "na", "ua", "nb", "countsa", "countsb").mapInArrow(_arrow.tidy(_near_pairs), "a long, b long, ub long")
 
 
 def _rows_of_shingles(batches):
@@ -404,7 +404,7 @@ def _compared(batches):
 
 def _left_over(rest: DataFrame, block: int) -> DataFrame:
     """Pairs (a, b) of different labels that may link among rest(v, d1, n, u, label, counts, elements)."""
-    every = rest.select("v", "d1", "n", "label", "elements").mapInArrow(_rows_of_shingles, "e long, v long, d1 long, n long, label long")
+    every = rest.select("v", "d1", "n", "label", "elements").mapInArrow(_arrow.tidy(_rows_of_shingles), "e long, v long, d1 long, n long, label long")
     met = every.groupBy("e").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("df")).where("low < high").select("e", "df")
     one = W.partitionBy("v", "d1")
     met = every.drop("label").join(met, "e").withColumn("inside", F.count(F.lit(1)).over(one))
@@ -414,7 +414,7 @@ def _left_over(rest: DataFrame, block: int) -> DataFrame:
     blocks = F.ceil(F.col("df") / block).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("v"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("e", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "v", "own", "n", "u", "outside", "label", "counts")
-    return rows.repartition("e", "i", "j").sortWithinPartitions("e", "i", "j").mapInArrow(_compared, "a long, b long").distinct()
+    return rows.repartition("e", "i", "j").sortWithinPartitions("e", "i", "j").mapInArrow(_arrow.tidy(_compared), "a long, b long").distinct()
 
 
 def linked_components(docs: DataFrame, most_blocks: int = MOST_BLOCKS, block: int = BLOCK) -> DataFrame:
@@ -425,12 +425,12 @@ def linked_components(docs: DataFrame, most_blocks: int = MOST_BLOCKS, block: in
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = partition_keys(spark, n_parts)
 
-    dealt = docs.mapInArrow(_dealt_shingles(n_parts), "part int, low binary").repartition(n_parts, F.get(F.lit(keys), F.col("part")))
-    slices = dealt.mapInArrow(_shared(max(1, most_blocks // n_parts)), "part int, bits binary").collect()  # most_blocks * 64 bytes at most
+    dealt = docs.mapInArrow(_arrow.tidy(_dealt_shingles(n_parts)), "part int, low binary").repartition(n_parts, F.get(F.lit(keys), F.col("part")))
+    slices = dealt.mapInArrow(_arrow.tidy(_shared(max(1, most_blocks // n_parts))), "part int, bits binary").collect()  # most_blocks * 64 bytes at most
     shared = spark.sparkContext.broadcast(Shared(n_parts, [(r["part"], bytes(r["bits"])) for r in slices]))
     del dealt, slices
     release(spark)
-    nodes = tables.keep(docs.mapInArrow(_nodes(shared), "doc_id long, n long, u long, d1 long, d2 long, elements binary, counts binary, least long"))
+    nodes = tables.keep(docs.mapInArrow(_arrow.tidy(_nodes(shared)), "doc_id long, n long, u long, d1 long, d2 long, elements binary, counts binary, least long"))
 
     known = nodes.where("n > 0 AND doc_id IS NOT NULL")
     classes = tables.keep(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("v")))
@@ -439,7 +439,7 @@ def linked_components(docs: DataFrame, most_blocks: int = MOST_BLOCKS, block: in
     sets = tables.keep(sets.repartition("least").sortWithinPartitions("least"))
     release(spark)
 
-    signed = sets.select("v", "n", "u", "elements").mapInArrow(_signed, "sign long, v long, u int, pivot long")
+    signed = sets.select("v", "n", "u", "elements").mapInArrow(_arrow.tidy(_signed), "sign long, v long, u int, pivot long")
     group = W.partitionBy("sign").orderBy("u", "v").rowsBetween(W.unboundedPreceding, W.currentRow)
     stars = signed.withColumn("best", F.first("v").over(group)).where("pivot IS NOT NULL OR v <> best")
     stars = tables.keep(stars.select(F.col("v").alias("a"), F.coalesce("pivot", "best").alias("b")).distinct())

@@ -162,7 +162,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
     chosen = bounded_sample(rows.select("doc_id").distinct(), "doc_id", sample)
     texts = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
-    got = texts.select("doc_id", "lang", "text").mapInArrow(_bags, "lang string, doc_id long, buckets binary, counts binary").toPandas().sort_values(["doc_id", "lang", "buckets"])
+    got = texts.select("doc_id", "lang", "text").mapInArrow(_arrow.tidy(_bags), "lang string, doc_id long, buckets binary, counts binary").toPandas().sort_values(["doc_id", "lang", "buckets"])
     bags = [(np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(c, "<u4") / max(1, np.frombuffer(c, "<u4").sum())) for b, c in zip(got["buckets"], got["counts"], strict=True)]
     full = [i for i, b in enumerate(bags) if len(b[0])]
     languages = sorted(set(got["lang"]))
@@ -189,7 +189,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 pred[~letters], best[~letters], rejected[~letters] = UNKNOWN, 1.0, True
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array(pred, pa.string()), pa.array(best), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(_arrow.tidy(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

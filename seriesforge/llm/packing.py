@@ -37,7 +37,7 @@ from . import _arrow
 WINDOW, END_ID = 2048, 1
 SENTENCE_PENALTY, FORCED_PENALTY, FORCED_STEP = 2, 12, 16
 BLOCK = 1 << 19  # tokens for which the programme runs at once
-CACHED_WORDS, CACHED_STEMS = 900_000, 700_000
+CACHED_WORDS, CACHED_STEMS = 600_000, 400_000
 _TAIL = b".,%#&$*|;:!?"  # ASCII marks that never join the letters before them
 
 
@@ -264,7 +264,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         yield table()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select("doc_id", "text").mapInArrow(run, schema + (", ids binary" if with_ids else ""))
+    return docs.select("doc_id", "text").mapInArrow(_arrow.tidy(run), schema + (", ids binary" if with_ids else ""))
 
 
 def query(spark, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:

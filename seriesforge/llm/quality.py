@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality")
     chosen = bounded_sample(rows, "doc_id", sample)  # so many pairs of numbers at most: small enough to broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = texts.mapInArrow(_statistics_batches(["quality"]), "quality int, x array<double>").toPandas()
+    got = texts.mapInArrow(_arrow.tidy(_statistics_batches(["quality"])), "quality int, x array<double>").toPandas()
     x = np.array(got["x"].tolist(), dtype=float).reshape(-1, FEATURES)
     order = np.lexsort(np.vstack([x.T, got["quality"].to_numpy()])) if len(x) else np.zeros(0, int)
     return fit(x[order], got["quality"].to_numpy()[order])  # in one order, so that sums are the same every time
@@ -150,7 +150,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             parts = [model.score(statistics(buf, offs)) for _, _, buf, offs in _arrow.chunks(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([*parts, np.zeros(0)]))], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(_arrow.tidy(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def score_only(docs: DataFrame, model: Model) -> DataFrame:
@@ -161,7 +161,7 @@ def score_only(docs: DataFrame, model: Model) -> DataFrame:
             for lo, hi, buf, offs in _arrow.chunks(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array(model.score(statistics(buf, offs)))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(_arrow.tidy(run), "doc_id long, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -153,7 +153,7 @@ def fingerprint_documents(docs: DataFrame, partitions: int | None = None) -> Dat
 
     parts = _parts(docs.select("doc_id", "text"), n)
     dealt = parts.repartition(n, F.get(F.lit(partition_keys(spark, n)), F.col("part"))).sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "text")
-    return dealt.select("part", "guest", "doc_id", "text").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.select("part", "guest", "doc_id", "text").mapInArrow(_arrow.tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _only_new(texts: list[str], after: list[str]) -> list[str]:

@@ -45,7 +45,7 @@ WINDOW, ANCHOR = 20, 8
 #: Occurrences from which the windows of an anchor are counted themselves.
 COMMON = 128
 #: Passages of an automaton, about, and those of common anchors that a task keeps before it sends them.
-SHARD, HELD = 2000, 20_000
+SHARD, HELD = 500, 20_000
 #: Blocks of 64 bytes in a filter, at most: 32 MB.
 MOST_BLOCKS = 1 << 19
 _NULL_ID = -(1 << 63)
@@ -328,16 +328,16 @@ def covers(docs: DataFrame, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     spark = docs.sparkSession
 
     def often(run, least: int) -> DataFrame:
-        return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).checkpoint()
+        return docs.mapInArrow(_arrow.tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).checkpoint()
 
     counted = often(_anchors, 2)
     recurring, common = (spark.sparkContext.broadcast(bloom(counted.where(F.col("n") >= n).select("h"), most_blocks)) for n in (2, COMMON))
     hot = spark.sparkContext.broadcast(bloom(often(_common_windows(common), 2).select("h"), most_blocks))
     release(spark)
     dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    passages = docs.mapInArrow(_passages(recurring, common, hot), "k long, d1 long, d2 long, doc_id long, start int, n long, passage binary")
-    results = passages.repartition(dealt, "k").sortWithinPartitions("k", "d1", "d2").mapInArrow(_confirm, "d1 long, d2 long, first_doc long, first_start int, mask int")
-    occurrences = docs.withColumns(_text_key()).mapInArrow(_occurrences(recurring, common, hot), "d1 long, d2 long, doc_id long, text_hash long, text_size int, start int, windows int, more int")
+    passages = docs.mapInArrow(_arrow.tidy(_passages(recurring, common, hot)), "k long, d1 long, d2 long, doc_id long, start int, n long, passage binary")
+    results = passages.repartition(dealt, "k").sortWithinPartitions("k", "d1", "d2").mapInArrow(_arrow.tidy(_confirm), "d1 long, d2 long, first_doc long, first_start int, mask int")
+    occurrences = docs.withColumns(_text_key()).mapInArrow(_arrow.tidy(_occurrences(recurring, common, hot)), "d1 long, d2 long, doc_id long, text_hash long, text_size int, start int, windows int, more int")
     is_first = (F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
     every = F.expr("shiftleft(1, windows) - 1")
     found = occurrences.join(results, ["d1", "d2"]).select("doc_id", *_TEXT, "start", F.when(is_first, F.col("mask")).otherwise(every).alias("mask"), "more")
@@ -410,7 +410,7 @@ def removals(docs: DataFrame, most_blocks: int = MOST_BLOCKS) -> DataFrame:
             )
 
     covered, names = _with_covers(docs.select("doc_id", "text"), most_blocks)
-    return covered.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return covered.mapInArrow(_arrow.tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup_texts(docs: DataFrame, most_blocks: int = MOST_BLOCKS) -> DataFrame:
@@ -426,7 +426,7 @@ def dedup_texts(docs: DataFrame, most_blocks: int = MOST_BLOCKS) -> DataFrame:
     docs = docs.drop("n_removed")
     columns_kept = docs.columns
     covered, names = _with_covers(docs, most_blocks)
-    return covered.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())]))
+    return covered.mapInArrow(_arrow.tidy(run), T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())]))
 
 
 ORACLE = r"""

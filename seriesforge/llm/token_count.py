@@ -140,7 +140,7 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]]) -> DataFr
                 got = [counter.count(raw[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[lo:hi], pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.float64())], names=["doc_id", "n_tokens", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, score double")
+    return docs.select("doc_id", "text").mapInArrow(_arrow.tidy(run), "doc_id long, n_tokens long, score double")
 
 
 def query(spark, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
