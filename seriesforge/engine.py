@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .model import NAME, Grid, QueryContext, QueryError, Store
 from .operators import catalog
-from .operators.store import effective_matchers, select_series
+from .operators.store import Budget, effective_matchers, raw_samples, select_series, selected_points
 from .plans.evaluator import Evaluator
 from .plans.matchers import Matcher
 from .plans.parser import parse
@@ -51,13 +51,22 @@ class Engine:
 
     def series(self, selectors: list[str], start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
         """Series that some selector matches and that have a sample in the range."""
+        found = self._selected(selectors, Budget(self.context))
+        return catalog.with_samples(found, self.store.samples, start_ms, end_ms)
+
+    def _selected(self, selectors: list[str], budget: Budget) -> DataFrame:
         found = None
         for text in selectors:
-            tree = parse(text)
-            part = select_series(self.store, tree.matchers, self.context)
+            part = select_series(self.store, parse(text).matchers, self.context, budget)
             found = part if found is None else found.unionByName(part)
-        found = found.dropDuplicates(["series_id"])
-        return catalog.with_samples(found, self.store.samples, start_ms, end_ms)
+        return found.dropDuplicates(["series_id"])
+
+    def read(self, selectors: list[str], start_ms: int, end_ms: int) -> DataFrame:
+        """(labels, labels_key, series_id, ts_ms, value, is_stale): the raw samples of the selected series from start to end, both included."""
+        budget = Budget(self.context)
+        series = self._selected(selectors, budget)
+        points = selected_points(raw_samples(self.store, start_ms - 1, end_ms), series, budget)
+        return points.join(series.select("series_id", "labels", "labels_key"), "series_id").select("labels", "labels_key", "series_id", "ts_ms", "value", "is_stale")
 
     def _matching(self, matchers: list[Matcher] | None) -> DataFrame:
         own = matchers or []

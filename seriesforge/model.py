@@ -141,6 +141,8 @@ class Store:
     rollup_until_ms: int | None = None
     mutable: object | None = None
     options: dict = field(default_factory=dict)
+    #: Samples have one row for each series and time already; otherwise reads merge repeated ones.
+    merged: bool = False
 
     def __post_init__(self):
         self.series = as_series(self.series)

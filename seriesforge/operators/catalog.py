@@ -62,35 +62,39 @@ def lookup_ids(requests: DataFrame, series: DataFrame, now_ms: int) -> tuple[Dat
     """Ids for requests(labels, ttl_s): those known and new ones above the greatest.
 
     Returns (ids of all requests, the new catalog rows). Requests of one label set are merged and the
-    larger ttl counts. New ids are numbered by the order of keys, over range partitions: the count of each
-    partition comes to the driver, not its rows.
+    larger ttl counts. New ids are numbered by the order of keys, in stretches of keys: the count of each
+    stretch comes to the driver, not its rows.
     """
     keyed = requests.withColumn("labels_key", labels_key(F.col("labels")))
     merged = keyed.groupBy("labels_key").agg(F.any_value("labels").alias("labels"), F.max("ttl_s").alias("ttl_s"))
     known = series.select("labels_key", "series_id")
     fresh = merged.join(known, "labels_key", "left_anti")
     top = series.agg(F.coalesce(F.max("series_id"), F.lit(0))).first()[0]
-    numbered = number_rows(fresh, ["labels_key"], top + 1)
+    numbered = number_rows(fresh, "labels_key", top + 1)
     rows = numbered.select("series_id", "labels", "labels_key", (F.lit(now_ms) + F.col("ttl_s").cast("long") * 1000).alias("expires_at_ms"))
     ids = merged.join(known.unionByName(rows.select("labels_key", "series_id")), "labels_key").select("labels_key", "series_id", "ttl_s")
     return ids, rows
 
 
-def number_rows(df: DataFrame, order: list[str], first: int) -> DataFrame:
-    """Adds dense series_id values in the order given, without one task that sees all rows."""
-    by_partition = df.repartitionByRange(*order).withColumn("partition", F.spark_partition_id())
-    if df.sparkSession.sparkContext.getCheckpointDir() is not None:
-        by_partition = by_partition.checkpoint()
-    counts = {r["partition"]: r["count"] for r in by_partition.groupBy("partition").count().collect()}
-    begin, at = {}, first
-    for p in sorted(counts):
-        begin[p] = at
-        at += counts[p]
-    if not begin:
-        return by_partition.drop("partition").withColumn("series_id", F.lit(None).cast("long"))
-    start = F.create_map(*(F.lit(x).cast("long") for kv in begin.items() for x in kv))
-    w = W.partitionBy("partition").orderBy(*order)
-    return by_partition.withColumn("series_id", F.element_at(start, F.col("partition").cast("long")) + F.row_number().over(w) - 1).drop("partition")
+#: Stretches of keys that are numbered apart, and keys from which their bounds are taken.
+STRETCHES, BOUND_KEYS = 64, 4096
+
+
+def number_rows(df: DataFrame, key: str, first: int) -> DataFrame:
+    """Adds dense series_id values in the order of a unique key, without one task that sees all rows.
+
+    The bounds of the stretches are fixed values, taken from the keys of least hash, so ids
+    are the same however often the plan or a part of it runs.
+    """
+    some = sorted(r[0] for r in df.select(key).orderBy(F.xxhash64(key), key).limit(BOUND_KEYS).collect())
+    step = max(1, len(some) // STRETCHES)
+    bounds = some[step::step]
+    stretch = F.size(F.filter(F.lit(bounds), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    placed = df.withColumn("stretch", stretch)
+    counts = {r["stretch"]: r["count"] for r in placed.groupBy("stretch").count().collect()}
+    begin = [first + sum(counts.get(p, 0) for p in range(s)) for s in range(len(bounds) + 1)]
+    place = F.row_number().over(W.partitionBy("stretch").orderBy(key))
+    return placed.withColumn("series_id", F.get(F.lit(begin), F.col("stretch")).cast("long") + place - 1).drop("stretch")
 
 
 def refresh_expiry(series: DataFrame, written: DataFrame, now_ms: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..model import DAY_MS, RAW_PARTITION_DAYS, ROLLUP_MS, QueryContext, QueryError, Store
 from ..plans.matchers import Matcher, all_of
 from . import rollup as R
-from .dedup import hot_over_cold
+from .dedup import dedup_samples, hot_over_cold
 from .mutable import NoValues
 
 
@@ -28,12 +28,26 @@ def effective_matchers(store: Store, matchers, context: QueryContext) -> list[Ma
     return out
 
 
-def select_series(store: Store, matchers, context: QueryContext) -> DataFrame:
+class Budget:
+    """What a query may still evaluate: all its selectors together count against the limits (0: no limit, nothing is counted)."""
+
+    def __init__(self, context: QueryContext):
+        self.left = {"series": context.max_series or None, "points": context.max_points or None}
+
+    def spend(self, kind: str, rows: DataFrame) -> None:
+        left = self.left[kind]
+        if left is None:
+            return
+        self.left[kind] = left - rows.limit(left + 1).count()
+        if self.left[kind] < 0:
+            raise QueryError(f"too many {kind} evaluated")
+
+
+def select_series(store: Store, matchers, context: QueryContext, budget: Budget | None = None) -> DataFrame:
     """The series that match, within the limit on series."""
     found = effective_matchers(store, matchers, context)
     chosen = store.series.where(all_of(found) if found is not None else F.lit(False))
-    if context.max_series and chosen.limit(context.max_series + 1).count() > context.max_series:
-        raise QueryError("too many series evaluated")
+    (budget or Budget(context)).spend("series", chosen)
     return chosen
 
 
@@ -55,10 +69,12 @@ def within(samples: DataFrame, low_ms: int, high_ms: int, column: str = "ts_ms")
 def raw_samples(store: Store, low_ms: int, high_ms: int) -> DataFrame:
     columns = ("series_id", "ts_ms", "value", "is_stale")
     cold = within(store.samples, low_ms, high_ms).select(*columns)
+    if not store.merged:
+        cold = dedup_samples(cold)
     if store.hot is None:
         return cold
     # the first hot sample of a series cuts its cold ones, wherever the range begins
-    cut = hot_over_cold(cold, store.hot.select(*columns))
+    cut = hot_over_cold(cold, dedup_samples(store.hot, "seq" if "seq" in store.hot.columns else None))
     return within(cut, low_ms, high_ms)
 
 
@@ -79,9 +95,8 @@ def read_samples(store: Store, low_ms: int, high_ms: int, function: str, step_ms
     return R.as_samples(both, function)
 
 
-def selected_points(points: DataFrame, series: DataFrame, context: QueryContext) -> DataFrame:
+def selected_points(points: DataFrame, series: DataFrame, budget: Budget) -> DataFrame:
     """The samples of the selected series, within the limit on points."""
     out = points.join(series.select("series_id"), "series_id", "left_semi")
-    if context.max_points and out.limit(context.max_points + 1).count() > context.max_points:
-        raise QueryError("too many points evaluated")
+    budget.spend("points", out)
     return out

@@ -17,7 +17,7 @@ from ..functions import histogram, ieee, labels as label_functions, ranges
 from ..functions.scalar import DATES, MATH, clamp
 from ..model import INF, LABELS, NAME, NAN, Grid, QueryContext, QueryError, Store, drop_labels, keep_labels, label, labels_key, with_labels
 from ..operators.expand import expand, with_previous
-from ..operators.store import read_samples, select_series, selected_points
+from ..operators.store import Budget, read_samples, select_series, selected_points
 from . import parser as P
 
 VECTOR = ("labels", "labels_key", "step_ms", "value")
@@ -42,6 +42,7 @@ class Evaluator:
         self.spark: SparkSession = store.series.sparkSession
         self.selected: dict[tuple, DataFrame] = {}
         self.chosen: dict[tuple, DataFrame] = {}
+        self.budget = Budget(context)
 
     # -- entry
 
@@ -87,7 +88,7 @@ class Evaluator:
     def series(self, sel: P.Selector) -> DataFrame:
         """The selector's series; equal selectors share one frame."""
         if sel.matchers not in self.chosen:
-            self.chosen[sel.matchers] = select_series(self.store, sel.matchers, self.context)
+            self.chosen[sel.matchers] = select_series(self.store, sel.matchers, self.context, self.budget)
         return self.chosen[sel.matchers]
 
     def source(self, sel: P.Selector, function: str, grid: Grid, range_ms: int) -> DataFrame:
@@ -97,7 +98,7 @@ class Evaluator:
             series = self.series(sel)
             low, high = grid.start_ms - sel.offset_ms - range_ms, grid.last_ms - sel.offset_ms
             points = read_samples(self.store, low, high, function, grid.step_ms if grid.count > 1 else 0, self.context)
-            self.selected[key] = selected_points(points, series, self.context)
+            self.selected[key] = selected_points(points, series, self.budget)
         return self.selected[key]
 
     def at_grid(self, node) -> tuple[Grid, bool]:

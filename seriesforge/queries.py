@@ -200,7 +200,8 @@ SELECT '' AS labels, t AS step_ms, round(CASE WHEN 0.7 * c3 <= c1 THEN 0.7 * c3
 
 _promql("vector_scalar_arith", "(events * 2 + 1) / 4 - 3", on_vector("(v * 2 + 1) / 4 - 3"))
 _promql("modulo_power", "events % 7 ^ 2", on_vector("fmod(v, 49)"))
-_promql("scalar_arith", "1 * 2 + 4 / 6 - 10 % 2 ^ 2 + time()", f"WITH {_grid()} SELECT '' AS labels, t AS step_ms, round(2 + 4 / 6.0::double - 2 + t / 1000.0::double, 6) AS value FROM g")
+_promql("scalar_arith", "7 - 3 ^ 2 * 5 % 8 + time() / 2 ^ -1", f"WITH {_grid()} SELECT '' AS labels, t AS step_ms, round(2 + t / 500.0::double, 6) AS value FROM g")
+_promql("atan2", "events atan2 (events + 1)", on_vector("atan2(v, v + 1)"))
 _promql("unary_minus", "-events", on_vector("-v"))
 _promql("vector_vector_one_to_one", "events / on(event_type) sum_over_time(events[1d])", instant(f"SELECT {KEY} AS labels, t AS step_ms, round(v.v / d.v, 6) AS value FROM v JOIN d USING (k, t)", f", wd AS (SELECT * FROM g JOIN s ON ts > t - {DAY} AND ts <= t), d AS (SELECT k, t, sum(v) AS v FROM wd GROUP BY k, t)"))
 _promql("ignoring", "events - ignoring(x) avg_over_time(events[6h])", instant(f"SELECT {KEY} AS labels, t AS step_ms, round(v.v - a.v, 6) AS value FROM v JOIN a USING (k, t)", ", a AS (SELECT k, t, avg(v) AS v FROM w GROUP BY k, t)"))
@@ -318,6 +319,16 @@ def _raw(spark, sf_dir):
     return within(store.samples, START, START + DAY).join(store.series, "series_id").select(F.col("labels")["event_type"].alias("event_type"), "ts_ms", "value")
 
 
+@_other("merged_read", f"SELECT event_type AS labels, epoch_us(ts) // 1000 AS ts_ms, CASE WHEN event_id % 3 = 0 THEN value + 1 ELSE value END AS value FROM events WHERE epoch_us(ts) // 1000 BETWEEN {START} AND {START + DAY}")
+def _merged(spark, sf_dir):
+    """Raw samples of a store that holds them in two parts, with NaN and larger values at equal times."""
+    whole = events_store(spark, sf_dir)
+    odd = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.xxhash64("event_type").alias("series_id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("ts_ms"), "value")
+    again = odd.select("series_id", "ts_ms", F.when(F.col("event_id") % 3 == 0, F.col("value") + 1).when(F.col("event_id") % 3 == 1, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"), F.lit(False).alias("is_stale"))
+    store = Store(series=whole.series, samples=whole.samples.unionByName(again))
+    return Engine(store).read(["events"], START, START + DAY).select(F.col("labels")["event_type"].alias("labels"), "ts_ms", "value")
+
+
 @_other("dedup_last_non_nan", "SELECT event_type, epoch_us(ts) // 60000000 * 60000 AS ts_ms, arg_max(value, event_id) AS value FROM events GROUP BY ALL")
 def _dedup(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -351,6 +362,12 @@ for _name, _function, _column in (("rollup_min", "min_over_time", "min(m)"), ("r
     _promql(_name, f"{_function}(events[1d])", f"WITH b AS (SELECT event_type AS k, {_BUCKET} AS ts, {_inner} AS m FROM events GROUP BY ALL), {_grid()} SELECT {KEY} AS labels, t AS step_ms, round({_column}, 6) AS value FROM g JOIN b ON ts > t - {DAY} AND ts <= t GROUP BY k, t", prepare=_with_rollup)
 
 
+# increase and resets read the largest value of each bucket
+_BUCKETS = f"s AS (SELECT event_type AS k, {_BUCKET} AS ts, max(value) AS v FROM events GROUP BY ALL)"
+_promql("rollup_increase", "increase(events[1d])", _rate_sql(True, False).replace(SAMPLES, _BUCKETS), prepare=_with_rollup)
+_promql("rollup_resets", "resets(events[1d])", ORACLES["resets"].replace(SAMPLES, _BUCKETS), prepare=_with_rollup)
+
+
 @_other("rollup_daily_shard", f"SELECT event_type, {_BUCKET} AS bucket_ms, {START} AS day_ms, min(value) AS min, max(value) AS max, round(avg(value), 6) AS avg, count(*)::double AS cnt FROM events WHERE epoch_us(ts) // 1000 >= {START} AND epoch_us(ts) // 1000 < {START + DAY} GROUP BY event_type, 2")
 def _daily(spark, sf_dir):
     store = events_store(spark, sf_dir)
@@ -363,7 +380,11 @@ def _daily(spark, sf_dir):
 
 # exchange
 
-@_other("wide_export", """PIVOT (SELECT epoch_us(ts) // 1000 AS timestamp, event_type, value FROM events) ON '{__name__="events",event_type="' || event_type || '"}' USING first(value) GROUP BY timestamp""")
+_TYPES = ("click", "error", "purchase", "signup", "view")
+_COLUMNS = ", ".join(f"""max(CASE WHEN event_type = '{t}' THEN value END) AS "{{__name__=""events"",event_type=""{t}""}}\"""" for t in _TYPES)
+
+
+@_other("wide_export", f"SELECT epoch_us(ts) // 1000 AS timestamp, {_COLUMNS} FROM events GROUP BY ALL")
 def _wide(spark, sf_dir):
     store = events_store(spark, sf_dir)
     return to_wide(store.samples, store.series)

@@ -18,7 +18,7 @@ def table_store(rows: DataFrame, metric: str, labels: Sequence[str], ts: Column,
     ms = F.floor(F.unix_micros(ts.cast("timestamp")) / 1000).cast("long")
     series = rows.select(*labels).distinct().select(series_id.alias("series_id"), F.create_map(*pairs).alias("labels"))
     samples = rows.select(series_id.alias("series_id"), ms.alias("ts_ms"), value.cast("double").alias("value"), F.lit(False).alias("is_stale"))
-    return Store(series=series.withColumn("labels_key", labels_key(F.col("labels"))), samples=samples)
+    return Store(series=series.withColumn("labels_key", labels_key(F.col("labels"))), samples=samples, merged=True)
 
 
 def events_store(spark: SparkSession, sf_dir: str, labels: Sequence[str] = ("event_type",), metric: str = "events") -> Store:

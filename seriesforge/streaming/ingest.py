@@ -53,12 +53,16 @@ def flush_due(hot: DataFrame, now_s: int, batch_s: int = 900) -> DataFrame:
 
 
 def flush(hot: DataFrame, cold_path: str, now_s: int, batch_s: int = 900, write: Callable[[DataFrame, str], None] = write_samples) -> DataFrame:
-    """Writes due samples, one for each time, and returns what stays hot: the points newer than one batch and the series not due."""
+    """Writes the due samples that are older than one batch, one for each time, and returns what stays hot: newer points and the series not due.
+
+    A sample is written when it leaves the buffer, and only then; a flush that is run again
+    repeats its rows, which reads merge.
+    """
+    old = F.col("ts_ms") <= (now_s - batch_s) * 1000
     due = flush_due(hot, now_s, batch_s)
-    write(dedup_samples(due, "seq" if "seq" in hot.columns else None), cold_path)
-    newer = hot.where(F.col("ts_ms") > (now_s - batch_s) * 1000)
-    waiting = hot.join(due.select("series_id").distinct(), "series_id", "left_anti").where(F.col("ts_ms") <= (now_s - batch_s) * 1000)
-    return newer.unionByName(waiting)
+    write(dedup_samples(due.where(old), "seq" if "seq" in hot.columns else None), cold_path)
+    waiting = hot.join(due.select("series_id").distinct(), "series_id", "left_anti").where(old)
+    return hot.where(~old).unionByName(waiting)
 
 
 def start_rollup(samples: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from helpers import T0, at, over, store
 
@@ -6,19 +9,9 @@ from seriesforge.model import QueryContext, QueryError, Store
 from seriesforge.operators.store import select_series
 from seriesforge.plans.parser import parse
 
-CPU, DISK = "node_cpu_seconds_total", "node_filesystem_avail_bytes"
-LABELS = [
-    {"__name__": "up", "job": "monitor", "instance": "localhost:9090"},
-    {"__name__": "up", "job": "node_exporter", "instance": "localhost:9100"},
-    {"__name__": "up", "job": "node_exporter", "instance": "remotehost:9100"},
-    {"__name__": CPU, "cpu": "0", "mode": "idle"},
-    {"__name__": CPU, "cpu": "0", "mode": "user"},
-    {"__name__": CPU, "cpu": "1", "mode": "user"},
-    {"__name__": DISK, "device": "tmpfs", "fstype": "tmpfs", "mountpoint": "/run"},
-    {"__name__": DISK, "device": "tmpfs", "fstype": "tmpfs", "mountpoint": "/run", "environment": "devel"},
-    {"__name__": DISK, "device": "tmpfs", "fstype": "tmpfs", "mountpoint": "/run", "environment": "production"},
-    {"__name__": DISK, "device": "tmpfs", "fstype": "tmpfs", "mountpoint": "/srv", "environment": "production", "userID": "42"},
-]
+NAMES, SITES, FLOORS = ("pump_flow", "pump_heat", "door"), ("east", "west", "eastern", ""), ("", "1", "10", "2")
+LABELS = [{"__name__": n, **({"site": s} if s else {}), **({"floor": f} if f else {})} for n in NAMES for s in SITES for f in FLOORS]
+PATTERNS = ("east", "east.*", "east|west", "(e|w)est", ".*", ".+", "", "^$", "^west$", "|east", r"ea\\wt(ern)?", "[ew].st", "1|2", "1.?", r"\\d\\d")
 
 
 @pytest.fixture(scope="module")
@@ -26,27 +19,25 @@ def small(spark):
     return store(spark, *((labels, [(T0, 1)]) for labels in LABELS))
 
 
-@pytest.mark.parametrize(("selector", "ids"), [
-    ("up", {1, 2, 3}),
-    ('{__name__=~"u."}', {1, 2, 3}),
-    ('{__name__="up",job="monitor"}', {1}),
-    ('up{job!="monitor"}', {2, 3}),
-    ('{__name__=~"node_cpu_.*",mode=~"^u.*"}', {5, 6}),
-    (r'{__name__=~"node_cpu_.*|up",mode!~"u\\wer",cpu!=""}', {4}),
-    (DISK + '{environment=~"^$"}', {7}),
-    (DISK + '{environment!~"^$"}', {8, 9, 10}),
-    (DISK + '{environment=""}', {7}),
-    (DISK + '{environment!=""}', {8, 9, 10}),
-    (DISK + '{environment="production",userID=""}', {9}),
-    (DISK + '{environment!="production"}', {7, 8}),
-    (DISK + '{environment=~"prod.*|devel"}', {8, 9, 10}),
-    (DISK + '{environment=~"devel|production",environment!="devel"}', {9, 10}),
-    (DISK + '{environment=~"|devel"}', {7, 8}),
-    ("nothing", set()),
-])
-def test_matchers(small, selector, ids):
-    got = select_series(small, parse(selector).matchers, QueryContext())
-    assert {r["series_id"] for r in got.collect()} == ids
+def holds(labels, name, op, value):
+    """A matcher by its definition: a missing label is empty, patterns are anchored."""
+    have = labels.get(name, "")
+    if op in ("=", "!="):
+        return (have == value) == (op == "=")
+    return bool(re.fullmatch(value.replace("\\\\", "\\"), have)) == (op == "=~")
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_matchers(small, seed):
+    rng = random.Random(seed)
+    asked = [("__name__", rng.choice(("=", "=~")), rng.choice(NAMES))]
+    for name in rng.sample(("site", "floor"), rng.randrange(1, 3)):
+        op = rng.choice(("=", "!=", "=~", "!~"))
+        asked.append((name, op, rng.choice((SITES, FLOORS)[name == "floor"] if op in ("=", "!=") else PATTERNS)))
+    text = "{" + ",".join(f'{n}{o}"{v}"' for n, o, v in asked) + "}"
+    want = {i for i, labels in enumerate(LABELS, 1) if all(holds(labels, *m) for m in asked)}
+    got = select_series(small, parse(text).matchers, QueryContext()).collect()
+    assert {r["series_id"] for r in got} == want, text
 
 
 def test_no_matchers_select_nothing(small):
@@ -102,6 +93,11 @@ def test_tenant_forced_and_limits(spark):
     with pytest.raises(QueryError):
         at(s, "count_over_time(disk_used[1h])", max_points=199)
     assert len(at(s, "count_over_time(disk_used[1h])", max_points=200)) == 2
+    with pytest.raises(QueryError):  # all selectors together
+        at(s, "disk_used + on(__account_id) disk_free", max_series=2)
+    with pytest.raises(QueryError):
+        at(s, "sum(count_over_time(disk_used[1h])) + sum(count_over_time(disk_free[1h]))", max_points=299)
+    assert at(s, "sum(count_over_time(disk_used[1h])) + sum(count_over_time(disk_free[1h]))", max_points=300) == {"": 300.0}
     with pytest.raises(QueryError):
         at(s, "disk_used", tenant_required=True)
     with pytest.raises(QueryError):
@@ -113,5 +109,6 @@ def test_hot_cuts_cold(spark):
     hot = [(1, 30_000, 100.0, False), (1, 50_000, 101.0, False)]
     schema = "series_id long, ts_ms long, value double, is_stale boolean"
     base = store(spark, ({"__name__": "m", "a": "1"}, [(0, 0)]), ({"__name__": "m", "a": "2"}, [(0, 0)]))
+    cold += [(1, 10_000, float("nan"), False), (2, 0, 6.0, False)]  # stored again
     s = Store(series=base.series, samples=spark.createDataFrame(cold, schema), hot=spark.createDataFrame(hot, schema))
     assert at(s, "sum_over_time(m[1h])", 60_000) == {'a="1"': 0.0 + 1 + 2 + 100 + 101, 'a="2"': 7.0}

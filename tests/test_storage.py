@@ -14,6 +14,7 @@ from seriesforge.operators import catalog, dedup, rollup
 from seriesforge.operators.mutable import MutableLabels
 from seriesforge.plans.matchers import Matcher
 from seriesforge.sources import samples as S
+from seriesforge.sources.write import write_request
 from seriesforge.sources.wide import from_wide, to_wide
 from seriesforge.streaming.ingest import flush, start_rollup
 
@@ -232,6 +233,40 @@ def test_flush(spark, tmp_path):
     assert rows(left, "ts_ms") == [(t,) for t in (6000, 7000, 8000, 9000)]
 
 
+def test_two_flushes_equal_one(spark, tmp_path):
+    """A sample reaches the cold store once; a flush that is run again is merged on read."""
+    hot = spark.createDataFrame([(1, 1000 * k, float(k), False, k) for k in range(10)], SCHEMA + ", seq long")
+    left = flush(hot, str(tmp_path / "cold"), now_s=2000, batch_s=1995)
+    left = spark.createDataFrame(left.collect(), hot.schema)
+    assert flush(left, str(tmp_path / "cold"), now_s=5000, batch_s=1995).count() == 0
+    stored = S.read_samples(spark, str(tmp_path / "cold"))
+    assert rows(stored, "ts_ms") == [(1000 * k,) for k in range(10)]
+    flush(left, str(tmp_path / "cold"), now_s=5000, batch_s=1995)
+    base = store(spark, ({"__name__": "m"}, [(0, 0)]))
+    assert at(Store(series=base.series, samples=S.read_samples(spark, str(tmp_path / "cold"))), "count_over_time(m[1h])", 10_000) == {"": 10.0}
+
+
+def test_write_request(spark, tmp_path):
+    now, path = 10**12, str(tmp_path / "w")
+    known = spark.createDataFrame([(7, {"__name__": "m", "a": "1", "__account_id": "t"})], "series_id long, labels map<string,string>").withColumn("labels_key", labels_key(F.col("labels")))
+    one, two, three = {"__name__": "m", "a": "1", "group": "g"}, {"__name__": "m", "a": "1"}, {"__name__": "m", "a": "2", "__account_id": "other"}
+    request = spark.createDataFrame([(one, now, 1.0, False), (two, now, NAN, False), (two, now - 5000, 2.0, False), (three, now, 3.0, False), (three, now - 10**7, 4.0, False), (three, now + 10**7, 5.0, False)], "labels map<string,string>, ts_ms long, value double, is_stale boolean")
+    with pytest.raises(QueryError):
+        write_request(request, known, path, now, read_only=True)
+    new = write_request(request, known, path, now, tenant="t", virtual=("group",), ttl_s=3600, most_future_ms=1000)
+    assert rows(new, "series_id", "labels_key", "expires_at_ms") == [(8, '__account_id="t",__name__="m",a="2"', now + 3_600_000)]
+    assert rows(S.read_samples(spark, path), "series_id", "ts_ms", "value") == [(7, now - 5000, 2.0), (7, now, 1.0), (8, now, 3.0)]
+    series = known.select("series_id", "labels").unionByName(new.select("series_id", "labels"))
+    got = Engine(Store(series=series, samples=S.read_samples(spark, path)), QueryContext(tenant="t")).read(['m{a="1"}'], now - 5000, now)
+    assert rows(got, "series_id", "ts_ms", "value") == [(7, now - 5000, 2.0), (7, now, 1.0)]
+
+
+def test_numbers_are_dense_and_stable(spark):
+    keys = spark.createDataFrame([(f"k{i * 7919 % 10007:05d}",) for i in range(5000)], "labels_key string").repartition(7)
+    first, again = (rows(catalog.number_rows(keys.repartition(n), "labels_key", 100), "labels_key", "series_id") for n in (3, 11))
+    assert first == again and [r[1] for r in first] == list(range(100, 5100))
+
+
 def test_entry_and_oracles(spark):
     import __spark_entry__ as E
 
