@@ -115,7 +115,7 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-BAD_LABELS = ("ads-track", "casino-win", "free-bets", "spam-farm")
+BAD_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
 def listed_urls(pages: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ keyed AS (
 ),
 listed AS (
   SELECT DISTINCT url_key FROM keyed
-  WHERE list_has_any(string_split(host, '.'), ['ads-track', 'casino-win', 'free-bets', 'spam-farm'])
+  WHERE list_has_any(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm'])
 )
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
