@@ -66,7 +66,7 @@ def neighbours_as_pairs(conversations: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     pairs = preference_pairs(neighbours_as_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
     digest = lambda c: F.sha2(F.encode(F.col(c), "UTF-8"), 256).alias(f"{c}_sha256")
-    return pairs.select("pair_id", "n_prefix", digest("prompt"), digest("chosen"), "chosen_mask", digest("rejected"), "rejected_mask")
+    return pairs.select("pair_id", "n_prefix", "prompt", "chosen", "rejected", digest("prompt"), digest("chosen"), "chosen_mask", digest("rejected"), "rejected_mask")
 
 
 ORACLE = """
@@ -91,6 +91,9 @@ lines AS (
   FROM numbered
 )
 SELECT pair_id, n_prefix,
+  coalesce(string_agg(line, '' ORDER BY n) FILTER (side = 0 AND n <= n_prefix), '') AS prompt,
+  CASE WHEN any_value(c) > 0 THEN coalesce(string_agg(line, '' ORDER BY n) FILTER (side = 0 AND n > n_prefix), '') END AS chosen,
+  CASE WHEN any_value(r) > 0 THEN coalesce(string_agg(line, '' ORDER BY n) FILTER (side = 1 AND n > n_prefix), '') END AS rejected,
   sha256(coalesce(string_agg(line, '' ORDER BY n) FILTER (side = 0 AND n <= n_prefix), '')) AS prompt_sha256,
   CASE WHEN any_value(c) > 0 THEN sha256(coalesce(string_agg(line, '' ORDER BY n) FILTER (side = 0 AND n > n_prefix), '')) END AS chosen_sha256,
   CASE WHEN any_value(c) > 0 THEN coalesce(string_agg(mask, ' ' ORDER BY n) FILTER (side = 0 AND n > n_prefix), '') END AS chosen_mask,
