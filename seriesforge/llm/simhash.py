@@ -11,13 +11,14 @@ all tables are one equi-join with an exact check behind it. Fingerprints are mad
 distinct before the join, so copies cost nothing.
 
 The edited text of the contract needs the next document in descending order of id.
-Ids alone are counted first, in equal-width cells; cells are grouped to parts of
-about equal rows, the largest id of a part is sent to the part above as well, and
-then each part, sorted, holds every neighbour it needs: one shuffle of the texts.
+Bounds of id ranges with about equal rows are taken from ``SAMPLE`` rows of least hash; the
+last row of a range needs the first of the range below, which is sent to it as well, and
+then each range, sorted, holds every neighbour it needs: one shuffle of the texts. Bounds are
+pairs of id and text hash, so rows that share an id, or have none, are split, too.
 
 Cases: a null text is empty; a text without words has the fingerprint 0; rows with
-equal ids follow one another by text; a null id comes after all others; a single
-document is its own neighbour; an empty table gives an empty result; further columns
+equal ids follow one another by the hash of their texts; a null id comes after all others; a single
+document is its own neighbour; rows equal in id and text are in one range; an empty table gives an empty result; further columns
 are ignored.
 """
 
@@ -29,14 +30,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _arrow
+from ._session import Tables
 
-BITS, CELLS = 128, 1 << 14
+BITS, SAMPLE = 128, 8192
 TERM_WORDS = 2
-RADIUS, BLOCKS = 6, 8
+RADIUS, BLOCKS = 3, 5
 
 
 def fingerprints(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -83,30 +85,40 @@ def partition_keys(spark: SparkSession, n: int) -> list[int]:
     return [found[p] for p in range(n)]
 
 
+def _place(bounds: list, key: Column, literal) -> Column:
+    """How many of the sorted bounds aren't above the key: among every m-th of them, then among m."""
+    if not bounds:
+        return F.lit(0)
+    m = max(1, int(len(bounds) ** 0.5))
+    coarse = F.size(F.filter(F.array(*map(literal, bounds[m - 1 :: m])), lambda b: b <= key))
+    fine = F.slice(F.array(*map(literal, bounds)), coarse * m + 1, F.lit(m))
+    return coarse * m + F.size(F.filter(fine, lambda b: b <= key))
+
+
 def _parts(docs: DataFrame, n: int) -> DataFrame:
-    """docs(doc_id, text) with ``part`` and ``guest``; a part's guest comes after its own rows."""
-    low, high, rows = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    if not rows:
-        return docs.select("doc_id", "text", F.lit(0).alias("part"), F.lit(False).alias("guest"))
-    low, high = (0, 0) if low is None else (low, high)
-    place = F.coalesce("doc_id", F.lit(low - 1).cast("long"))
-    width = (high - low + 1) // CELLS + 1
-    cell = ((place - F.lit(low - 1)) / F.lit(width)).cast("int")
-    counted = docs.select(cell.alias("cell"), place.alias("place")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("top")).collect()  # at most CELLS + 1 rows
-    part_of, tops, share, gone = [0] * (CELLS + 2), [], rows / n, 0
-    by_cell = {r["cell"]: r for r in counted}
-    for c in range(CELLS + 2):
-        part_of[c] = max(0, len(tops) - 1)
-        if c in by_cell:
-            if not tops or gone >= share * len(tops):
-                tops.append(0)
-            part_of[c] = len(tops) - 1
-            tops[-1] = by_cell[c]["top"]
-            gone += by_cell[c]["n"]
-    part = F.get(F.lit(part_of), cell)
-    above = F.when(place == F.get(F.lit(tops), part), F.pmod(part + 1, F.lit(len(tops))))
-    copies = F.array(F.struct(part.alias("part"), F.lit(False).alias("guest")), F.struct(above.alias("part"), F.lit(True).alias("guest")))
-    return docs.select("doc_id", "text", F.explode(F.filter(copies, lambda x: x["part"].isNotNull())).alias("to")).select("doc_id", "text", "to.part", "to.guest")
+    """docs(doc_id, text) with ``hash``, ``part`` and ``guest``; a part's guest comes after its own rows."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    key = F.struct(F.col("doc_id").isNotNull().cast("int").alias("a"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("b"), F.col("hash").alias("c"))
+    literal = lambda k: F.struct(F.lit(k[0]).cast("int").alias("a"), F.expr(f"CAST('{k[1]}' AS BIGINT)").alias("b"), F.expr(f"CAST('{k[2]}' AS BIGINT)").alias("c"))
+    some = docs.select("doc_id", "hash", key.alias("key")).orderBy(F.xxhash64("hash", "doc_id"), "doc_id", "hash").limit(SAMPLE)
+    some = sorted(tuple(r["key"]) for r in some.collect())
+    bounds = sorted({some[len(some) * i // n] for i in range(1, n)}) if len(some) >= n else []
+    placed = docs.select("doc_id", "text", "hash", key.alias("key")).withColumn("part", _place(bounds, F.col("key"), literal))
+    if not bounds:
+        return placed.select("doc_id", "text", "hash", "part", F.lit(False).alias("guest")).unionByName(_first_row(placed))
+    tops = {r["part"]: tuple(r["top"]) for r in placed.select("part", "key").groupBy("part").agg(F.max("key").alias("top")).collect()}  # at most n rows
+    full = sorted(tops)  # parts that have rows; a top goes to the next of them
+    above = {p: full[(i + 1) % len(full)] for i, p in enumerate(full)}
+    is_top = F.get(F.array(*(literal(tops.get(p, (2, 0, 0))) for p in range(len(bounds) + 1))), F.col("part")) == F.col("key")
+    guest = F.when(is_top, F.get(F.lit([above.get(p, -1) for p in range(len(bounds) + 1)]), F.col("part")))
+    copies = F.array(F.struct(F.col("part"), F.lit(False).alias("guest")), F.struct(guest.alias("part"), F.lit(True).alias("guest")))
+    return placed.select("doc_id", "text", "hash", F.explode(F.filter(copies, lambda x: x["part"].isNotNull())).alias("to")).select("doc_id", "text", "hash", "to.part", "to.guest")
+
+
+def _first_row(placed: DataFrame) -> DataFrame:
+    """The guest of a table that is one part: its own first row."""
+    top = placed.orderBy(F.col("key").desc()).limit(1)
+    return top.select("doc_id", "text", "hash", "part", F.lit(True).alias("guest"))
 
 
 def _followed(batches) -> Iterator[tuple[list, list[str], list[str]]]:
@@ -152,7 +164,7 @@ def fingerprint_documents(docs: DataFrame, partitions: int | None = None) -> Dat
             )
 
     parts = _parts(docs.select("doc_id", "text"), n)
-    dealt = parts.repartition(n, F.get(F.lit(partition_keys(spark, n)), F.col("part"))).sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    dealt = parts.repartition(n, F.get(F.lit(partition_keys(spark, n)), F.col("part"))).sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), F.col("hash").desc(), "text")
     return dealt.select("part", "guest", "doc_id", "text").mapInArrow(_arrow.tidy(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
@@ -192,5 +204,15 @@ def neighbours(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, bloc
     return found.where(F.col("distance") <= radius).distinct()
 
 
+def with_neighbours(fingerprinted: DataFrame, every: int = 50, radius: int = RADIUS) -> DataFrame:
+    """Adds n_near: for the queries (ids divisible by ``every``) the number of other rows within the radius, else null."""
+    rows = Tables(fingerprinted.sparkSession).keep(fingerprinted)
+    asks = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    weights = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    near = neighbours(rows, rows.where(asks), radius).join(weights, "fingerprint").groupBy("query_fingerprint").agg((F.sum("n") - 1).alias("n_near"))
+    queries = rows.where(asks).join(near.withColumnRenamed("query_fingerprint", "fingerprint"), "fingerprint", "left")
+    return rows.where(~asks).withColumn("n_near", F.lit(None).cast("long")).unionByName(queries)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    return fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return with_neighbours(fingerprint_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
