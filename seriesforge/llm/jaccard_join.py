@@ -436,7 +436,10 @@ def linked_components(docs: DataFrame, most_blocks: int = MOST_BLOCKS, block: in
     classes = tables.keep(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("v")))
     sets = known.where("elements IS NOT NULL").join(classes.select(F.col("v").alias("doc_id"), "d1", "d2", "n"), ["doc_id", "d1", "d2", "n"], "left_semi")
     sets = sets.select(F.col("doc_id").alias("v"), "d1", "d2", "n", "u", "elements", "counts", "least").dropDuplicates(["v", "d1", "d2"])
-    sets = tables.keep(sets.repartition("least").sortWithinPartitions("least"))
+    # sets of one least hash lie together; where they are many, in several stretches
+    many = known.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / block).alias("stretches")).where("stretches > 1")
+    sets = sets.join(many, "least", "left").withColumn("stretch", F.coalesce(F.pmod(F.xxhash64("d1"), F.col("stretches")), F.lit(0)))
+    sets = tables.keep(sets.repartition("least", "stretch").sortWithinPartitions("least", "stretch").drop("stretches", "stretch"))
     release(spark)
 
     signed = sets.select("v", "n", "u", "elements").mapInArrow(_arrow.tidy(_signed), "sign long, v long, u int, pivot long")
