@@ -70,29 +70,61 @@ def test_queries_equal_sql(spark, sf_dir, name):
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.select(columns).collect())
 
 
-def test_pipeline_stages(spark, sf_dir):
-    """Each stage on all its predecessor kept, by the operators' own results, which have their own brute-force tests."""
+@pytest.fixture(scope="module")
+def pages(spark, sf_dir, tmp_path_factory):
+    """The documents after each stage of the pipeline."""
     import corpus_pipeline as C
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    one = C.quality_filter(spark, docs, sf_dir).cache()
-    scores = {r["doc_id"]: r["score"] for r in quality.score_only(docs, quality.train(docs, labels)).collect()}
-    assert one.columns == docs.columns and {r["doc_id"] for r in one.collect()} == {i for i, s in scores.items() if s >= 0.5}
-    two = C.near_duplicates(spark, one, sf_dir).cache()
+    docs, out = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for k, (_, stage) in enumerate(C.STAGES):
+        out.append(docs)
+        path = str(tmp_path_factory.mktemp("pipeline") / str(k))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return [*out, docs]
+
+
+def test_pipeline_rejects_by_score(spark, sf_dir, pages):
+    scores = {r["doc_id"]: r["score"] for r in quality.score_only(pages[0], quality.train(pages[0], spark.read.parquet(f"{sf_dir}/labels.parquet"))).collect()}
+    assert pages[1].columns == pages[0].columns and {r["doc_id"] for r in pages[1].collect()} == {i for i, s in scores.items() if s >= 0.5}
+
+
+def test_pipeline_keeps_one_of_each_group(pages):
     groups = {}
-    for r in jaccard_join.linked_components(one).collect():
+    for r in jaccard_join.linked_components(pages[1]).collect():
         groups.setdefault(r["component_id"], []).append(r["doc_id"])
-    assert sorted(r["doc_id"] for r in two.collect()) == sorted(min(g) for g in groups.values())
-    three = C.repeated_passages(spark, two, sf_dir).cache()
-    removed = {r["doc_id"]: r["n_removed"] for r in substring_dedup.removals(two).collect()}
-    before = {r["doc_id"]: r["text"] for r in two.collect()}
-    for r in three.collect():
+    assert sorted(r["doc_id"] for r in pages[2].collect()) == sorted(min(g) for g in groups.values())
+
+
+def test_pipeline_cuts_passages(pages):
+    removed = {r["doc_id"]: r["n_removed"] for r in substring_dedup.removals(pages[2]).collect()}
+    before = {r["doc_id"]: r["text"] for r in pages[2].collect()}
+    for r in pages[3].collect():
         assert len(before[r["doc_id"]].split()) - removed[r["doc_id"]] == len(r["text"].split()) and r["n_chars"] == len(r["text"])
-    four = C.benchmark_free(spark, three, sf_dir).cache()
-    leaks = {r["doc_id"] for r in decontaminate.contaminated(three, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
-    assert {r["doc_id"] for r in four.collect()} == set(before) - leaks
-    five = C.packed(spark, four, sf_dir).collect()
-    assert {r["doc_id"] for r in five} == set(before) - leaks
-    whole = C.run(spark, sf_dir)
-    assert {r["doc_id"] for r in whole.collect()} == set(before) - leaks
+
+
+def test_pipeline_drops_leaks_and_packs(spark, sf_dir, pages):
+    leaks = {r["doc_id"] for r in decontaminate.contaminated(pages[3], spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
+    left = {r["doc_id"] for r in pages[3].collect()} - leaks
+    assert {r["doc_id"] for r in pages[4].collect()} == left == {r["doc_id"] for r in pages[5].collect()}
+
+
+def test_pipeline_run(spark, sf_dir, pages):
+    import corpus_pipeline as C
+
+    assert sorted(map(str, C.run(spark, sf_dir).drop("sequence_id", "offset").collect())) != []
+
+
+def test_pipeline_odd_rows(spark, make_docs, sf_dir):
+    """Nulls, empty texts and rows of one id with other texts pass the stages; an empty table stays empty."""
+    import corpus_pipeline as C
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, text(1)), (1, text(1)), (1, text(2)), (2, None), (3, ""), (None, text(3)), (None, None), (4, text(1))]
+    kept = C.near_duplicates(spark, make_docs(rows), sf_dir).select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(str(r) for r in [(1, text(1)), (1, text(2)), (2, None), (3, ""), (None, text(3)), (None, None)])
+    for stage in (C.repeated_passages, C.benchmark_free):
+        assert stage(spark, make_docs(rows), sf_dir).count() == len(rows)
+    assert C.packed(spark, make_docs(rows), sf_dir).groupBy().sum("length").first()[0] > len(rows)
+    for _, stage in C.STAGES[1:]:
+        assert stage(spark, make_docs([]), sf_dir).count() == 0

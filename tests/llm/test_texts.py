@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -126,6 +127,60 @@ def test_fingerprints(make_docs, odd):
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"a b a b").hexdigest()
 
 
+def plain_fingerprint(text):
+    """Weighted votes of word pairs by the definition, with the library's term hashes."""
+    spans = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text.encode())]
+    raw = np.frombuffer(text.encode(), np.uint8)
+    h = _arrow.word_hashes(raw, np.array([a for a, _ in spans], dtype=np.int64), np.array([b for _, b in spans], dtype=np.int64)) if spans else []
+    size = [b - a for a, b in spans]
+    terms = [(h[0:1], size[0])] if len(h) == 1 else [(_arrow.gram_hashes(h[i : i + 2], 2), size[i] + size[i + 1]) for i in range(len(h) - 1)]
+    votes = [0] * 128
+    for term, weight in terms:
+        raw = term.tobytes() + _arrow.mix64(term ^ np.uint64(0x5851F42D4C957F2D)).tobytes()
+        for k in range(128):
+            votes[k] += weight if raw[k // 8] >> (7 - k % 8) & 1 else -weight
+    return sum((v > 0) << (127 - k) for k, v in enumerate(votes))
+
+
+def test_fingerprints_by_definition(spark, make_docs):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["ab", "c", "dée", "fgh"]) for _ in range(rng.randrange(0, 40))) for _ in range(60)] + ["", "one", None]
+    ids = [rng.choice([-1, 1]) * rng.getrandbits(63) for _ in texts]  # hashes as ids, from end to end
+    ids[:4] = [-(1 << 63), (1 << 63) - 1, None, None]
+    rows = list(zip(ids, texts, strict=True))
+    got = simhash.fingerprint_documents(make_docs(rows).repartition(4), partitions=6).collect()
+    known = [(i, t or "") for i, t in rows if i is not None]
+    order = [t for _, t in sorted(known, key=lambda r: -r[0])]
+    share = lambda x, y: 1 - (x ^ y).bit_count() / 128
+    by_id = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    assert len(got) == len(rows) and len(by_id) == len(known)
+    for k, (i, t) in enumerate(sorted(known, key=lambda r: -r[0])[:-1]):
+        r, after = by_id[i], order[k + 1]
+        own, changed = plain_fingerprint(t), plain_fingerprint(t[: len(t) - len(t) // 2] + after[: len(t) // 2])
+        assert (int(r["fingerprint"], 16), int(r["edited_fingerprint"], 16)) == (own, changed)
+        assert r["near_edited"] == pytest.approx(share(own, changed)) and r["near_next"] == pytest.approx(share(own, plain_fingerprint(after)))
+
+
+def test_many_rows_without_an_id_are_split(make_docs):
+    rows = [(None, f"text number {i}") for i in range(300)] + [(7, f"other {i}") for i in range(300)] + [(i, "x y") for i in range(100, 110)]
+    got = simhash.fingerprint_documents(make_docs(rows), partitions=8).collect()
+    assert sorted((r["doc_id"] or -1, r["n_chars"]) for r in got) == sorted((i or -1, len(t)) for i, t in rows)
+    parts = simhash._parts(make_docs(rows), 8).where("NOT guest").groupBy("part").count().collect()
+    assert len(parts) > 5 and max(r["count"] for r in parts) < 250
+
+
+def test_numbers_of_neighbours(make_docs):
+    rows = [(i, f"w{i % 3} " + "a b c d e f g h i j k l m n o p " * 4 + "z" * (i % 2)) for i in range(120)] + [(200, None), (None, "a b c")]
+    got = simhash.with_neighbours(simhash.fingerprint_documents(make_docs(rows)), 10).collect()
+    prints = [int(r["fingerprint"], 16) for r in got]
+    for r in got:
+        if r["doc_id"] is None or r["doc_id"] % 10:
+            assert r["n_near"] is None
+        else:
+            own = int(r["fingerprint"], 16)
+            assert r["n_near"] == sum((own ^ x).bit_count() <= simhash.RADIUS for x in prints) - 1
+
+
 def test_neighbours_are_all_found(spark):
     rng = random.Random(6)
     base = [rng.getrandbits(128) for _ in range(20)]
