@@ -12,8 +12,9 @@
    are counted themselves, a passage is a run of windows that recur, and each task sends it once.
 3. Automata. A shard takes its passages anchor by anchor, and compiles an Aho-Corasick automaton
    (pyahocorasick) of all their windows, words being its letters, with the first place of each; some
-   ``SHARD`` passages share an automaton. All passages are streamed through it: a passage's first
-   occurrence gets a mask of the windows that start earlier elsewhere.
+   ``SHARD`` passages share an automaton. The passages are streamed through it: a passage's first
+   occurrence gets a mask of the windows that start earlier elsewhere. (An anchor with one passage
+   needs none: equal windows have equal anchors, so all that repeats is the whole passage.)
 4. Every occurrence in every document is joined with its passage's result: all
    windows of a later occurrence are repeats, those of the first as the mask says. A passage
    is one row, however many windows it has.
@@ -211,17 +212,15 @@ def _passages(recurring, common, hot):
             pick, n = order[at], np.diff(np.append(at, len(order)))
             a, b = starts[runs.first[pick]], ends[runs.first[pick] + length[pick] - 1]
             raw = buf.tobytes()
-            signed = lambda x: x[pick].view(np.int64).tolist()
-            rows = []
-            for x, y, k, one, two, doc, start, many, often in zip(a.tolist(), b.tolist(), signed(runs.anchor), signed(d1), signed(d2), ids[pick].tolist(), runs.start[pick].tolist(), n.tolist(), runs.common[pick].tolist(), strict=True):
-                got = held.get((k, one, two)) if often else None
-                if got is not None:
-                    got[0], got[1] = min(got[0], (doc, start)), got[1] + many
-                elif often:
-                    held[k, one, two] = [(doc, start), many, b" ".join(raw[x:y].split())]
-                else:
-                    rows.append((k, one, two, doc, start, many, b" ".join(raw[x:y].split())))
-            yield table(rows)
+            texts = [b" ".join(raw[x:y].split()) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            columns = [runs.anchor[pick].view(np.int64), d1[pick].view(np.int64), d2[pick].view(np.int64), ids[pick], runs.start[pick], n]
+            often = runs.common[pick]
+            for i in np.flatnonzero(often).tolist():
+                k, one, two, doc, start, many = (int(c[i]) for c in columns)
+                got = held.setdefault((k, one, two), [(doc, start), 0, texts[i]])
+                got[0], got[1] = min(got[0], (doc, start)), got[1] + many
+            sent = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, texts], _PASSAGE.values(), strict=True)], names=list(_PASSAGE))
+            yield sent.filter(pa.array(~often)) if often.any() else sent
             if len(held) > HELD:
                 yield flush()
         if held:
@@ -290,16 +289,15 @@ def _confirm(batches):
 
     def close(end: int):
         """The table of the first ``end`` classes, which are all of their anchors."""
-        shard, alone = Shard(), []
-        for i, c in enumerate(classes[:end]):
-            single = c[4] == 1 and (i == 0 or classes[i - 1][0] != c[0]) and (i + 1 == end or classes[i + 1][0] != c[0])
-            if single:  # a false hit of the filter: nothing that it could repeat
-                alone.append(i)
-            else:
+        keys = [c[0] for c in classes[:end]]
+        several = [(i > 0 and keys[i - 1] == k) or (i + 1 < end and keys[i + 1] == k) for i, k in enumerate(keys)]
+        shard = Shard()
+        for c, these in zip(classes, several, strict=False):
+            if these:
                 shard.add(c[5].split(b" "), c[3])
         masks = iter(shard.masks())
-        skip = set(alone)
-        rows = [(c[1], c[2], *c[3], m) for i, c in enumerate(classes[:end]) if i not in skip and ((m := next(masks)) or c[4] > 1)]
+        # a passage that has its anchor for itself shares no window with another one
+        rows = [(c[1], c[2], *c[3], m) for c, these in zip(classes, several, strict=False) if (m := next(masks) if these else 0) or c[4] > 1]
         del classes[:end]
         columns = list(zip(*rows, strict=True)) or [[]] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["d1", "d2", "first_doc", "first_start", "mask"])
