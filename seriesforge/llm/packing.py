@@ -37,7 +37,7 @@ from . import _arrow
 WINDOW, END_ID = 2048, 1
 SENTENCE_PENALTY, FORCED_PENALTY, FORCED_STEP = 2, 12, 16
 BLOCK = 1 << 19  # tokens for which the programme runs at once
-CACHED_WORDS, CACHED_STEMS = 900_000, 800_000
+CACHED_WORDS, CACHED_STEMS = 1_400_000, 1_200_000
 _TAIL = b".,%#&$*|;:!?"  # ASCII marks that never join the letters before them
 
 
