@@ -49,28 +49,31 @@ def _last(c: Column) -> Column:
     return F.max_by(c, _ts())
 
 
+def extrapolate(w: Window, n: Column, first_ts: Column, last_ts: Column, first: Column, last: Column, resets: Column | None, per_second: bool) -> Column:
+    """The gain between the first and last sample, stretched towards the window's edges; with ``resets`` it is a counter's."""
+    at = F.min(w.at_ms)
+    seconds = lambda c: c.cast("double") / 1000.0
+    gained = last - first if resets is None else last - first + resets
+    sampled = seconds(last_ts - first_ts)
+    average = sampled / F.greatest(n - 1, F.lit(1)).cast("double")
+    to_start, to_end = seconds(first_ts - (at - w.range_ms)), seconds(at - last_ts)
+    limit = average * 1.1
+    to_start = F.when(to_start >= limit, average / 2).otherwise(to_start)
+    if resets is not None:  # a counter can't have been below zero
+        zero = sampled * F.try_divide(first, gained)
+        to_start = F.when((gained > 0) & (first >= 0) & (zero < to_start), zero).otherwise(to_start)
+    to_end = F.when(to_end >= limit, average / 2).otherwise(to_end)
+    factor = F.try_divide(sampled + to_start + to_end, sampled)
+    if per_second:
+        factor = factor / (w.range_ms / 1000.0)
+    return F.when((n >= 2) & (sampled > 0), gained * factor)
+
+
 def _extrapolated(counter: bool, per_second: bool) -> Callable[[Window], Column]:
     def of(w: Window) -> Column:
-        at = F.min(w.at_ms)
-        n, first_ts, last_ts = F.count(_value()), F.min(_ts()), F.max(_ts())
-        first, last = _first(_value()), _last(_value())
-        seconds = lambda c: c.cast("double") / 1000.0
-        gained = last - first
-        if counter:
-            gained = gained + F.coalesce(F.sum(F.when(_in_window(w) & (_value() < F.col("prev_value")), F.col("prev_value"))), F.lit(0.0))
-        sampled = seconds(last_ts - first_ts)
-        average = sampled / F.greatest(n - 1, F.lit(1)).cast("double")
-        to_start, to_end = seconds(first_ts - (at - w.range_ms)), seconds(at - last_ts)
-        limit = average * 1.1
-        to_start = F.when(to_start >= limit, average / 2).otherwise(to_start)
-        if counter:  # a counter can't have been below zero
-            zero = sampled * F.try_divide(first, gained)
-            to_start = F.when((gained > 0) & (first >= 0) & (zero < to_start), zero).otherwise(to_start)
-        to_end = F.when(to_end >= limit, average / 2).otherwise(to_end)
-        factor = F.try_divide(sampled + to_start + to_end, sampled)
-        if per_second:
-            factor = factor / (w.range_ms / 1000.0)
-        return F.when((n >= 2) & (sampled > 0), gained * factor)
+        fell = F.sum(F.when(_in_window(w) & (_value() < F.col("prev_value")), F.col("prev_value")))
+        resets = F.coalesce(fell, F.lit(0.0)) if counter else None
+        return extrapolate(w, F.count(_value()), F.min(_ts()), F.max(_ts()), _first(_value()), _last(_value()), resets, per_second)
 
     return of
 

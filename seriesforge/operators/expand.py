@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from ..model import Grid
 
 
-def with_previous(samples: DataFrame) -> DataFrame:
-    """Adds the sample before, of the same series."""
-    w = W.partitionBy("series_id").orderBy("ts_ms")
-    return samples.withColumns({"prev_ts_ms": F.lag("ts_ms").over(w), "prev_value": F.lag("value").over(w)})
+def with_previous(rows: DataFrame) -> DataFrame:
+    """Adds to the rows of a window the sample before within the same window.
 
+    The aggregation by series and step that follows needs no further shuffle, and no task
+    sees more of a series than a window.
+    """
+    w = W.partitionBy("series_id", "step_ms").orderBy("ts_ms")
+    return rows.withColumns({"prev_ts_ms": F.lag("ts_ms").over(w), "prev_value": F.lag("value").over(w)})
 
 
 def expand(samples: DataFrame, grid: Grid, range_ms: int, offset_ms: int = 0) -> DataFrame:

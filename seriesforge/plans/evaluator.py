@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import histogram, ieee, labels as label_functions, ranges
+from ..functions import histogram, ieee, labels as label_functions, panes, ranges
 from ..functions.scalar import DATES, MATH, clamp
 from ..model import INF, LABELS, NAME, NAN, Grid, QueryContext, QueryError, Store, drop_labels, keep_labels, label, labels_key, with_labels
 from ..operators.expand import expand, with_previous
 from ..operators.store import Budget, read_samples, select_series, selected_points
 from . import parser as P
+from . import pointwise
 
 VECTOR = ("labels", "labels_key", "step_ms", "value")
 
@@ -115,14 +116,18 @@ class Evaluator:
         n, start, step = self.grid.count, self.grid.start_ms, self.grid.step_ms
         return df.withColumn("step_ms", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.lit(start) + k.cast("long") * F.lit(step))))
 
-    def windows(self, sel: P.Selector, function: str, range_ms: int) -> tuple[DataFrame, bool]:
+    def windows(self, sel: P.Selector, function: str, range_ms: int) -> tuple[DataFrame, bool, Callable | None]:
+        """Rows by series and step, whether one step stands for all, and the aggregate to use if the rows are panes."""
         grid, fixed = self.at_grid(sel)
         samples = self.source(sel, function, grid, range_ms)
         if range_ms and sel.range_ms is not None:
             samples = samples.where("NOT is_stale")
-            if function in ranges.NEEDS_PREVIOUS:
-                samples = with_previous(samples)
-        return expand(samples, grid, range_ms, sel.offset_ms), fixed
+            pane = panes.pane_ms(function, grid, range_ms)
+            if pane:
+                samples = panes.to_panes(samples, function, grid, sel.offset_ms, pane)
+                return expand(samples, grid, range_ms, sel.offset_ms), fixed, panes.PANED[function].whole
+        rows = expand(samples, grid, range_ms, sel.offset_ms)
+        return with_previous(rows) if function in ranges.NEEDS_PREVIOUS else rows, fixed, None
 
     def named(self, df: DataFrame, sel: P.Selector, keep_name: bool) -> DataFrame:
         """series ids to labels."""
@@ -133,7 +138,7 @@ class Evaluator:
 
     def instant(self, sel: P.Selector, value: str = "value") -> DataFrame:
         """The last sample within the lookback; a stale one ends the series."""
-        rows, fixed = self.windows(sel, "", self.context.lookback_ms)
+        rows, fixed, _ = self.windows(sel, "", self.context.lookback_ms)
         last = rows.groupBy("series_id", "step_ms").agg(F.max_by(F.struct("ts_ms", "value", "is_stale"), "ts_ms").alias("s"))
         picked = (F.col("s.ts_ms").cast("double") / 1000.0) if value == "ts" else F.col("s.value")
         return self.spread(self.named(last.where("NOT s.is_stale").select("series_id", "step_ms", picked.alias("value")), sel, value != "ts"), fixed)
@@ -144,9 +149,9 @@ class Evaluator:
             return self.over_subquery(node, function, aggregate, keep_name)
         if not isinstance(node, P.Selector) or node.range_ms is None:
             raise QueryError(f"{function} needs a range")
-        rows, fixed = self.windows(node, function, node.range_ms)
+        rows, fixed, of_panes = self.windows(node, function, node.range_ms)
         w = ranges.Window(node.range_ms, F.col("at_ms"))
-        out = rows.groupBy("series_id", "step_ms").agg(aggregate(w).alias("value")).where("value IS NOT NULL")
+        out = rows.groupBy("series_id", "step_ms").agg((of_panes or aggregate)(w).alias("value")).where("value IS NOT NULL")
         return self.spread(self.named(out, node, keep_name), fixed)
 
     def over_subquery(self, node: P.Subquery, function: str, aggregate, keep_name: bool) -> DataFrame:
@@ -159,9 +164,8 @@ class Evaluator:
         got = inner.result(node.expr)
         got = got.where(F.col("step_ms") <= end) if first > end else got
         samples = got.select("labels", F.col("labels_key").alias("series_id"), F.col("step_ms").alias("ts_ms"), "value")
-        if function in ranges.NEEDS_PREVIOUS:
-            samples = with_previous(samples)
         rows = expand(samples, grid, node.range_ms, node.offset_ms)
+        rows = with_previous(rows) if function in ranges.NEEDS_PREVIOUS else rows
         out = rows.groupBy("series_id", "step_ms").agg(aggregate(ranges.Window(node.range_ms, F.col("at_ms"))).alias("value"), F.any_value("labels").alias("labels")).where("value IS NOT NULL")
         out = with_labels(out, F.col("labels") if keep_name else drop_labels(F.col("labels"), NAME)).select(*VECTOR)
         return self.spread(out, fixed)
@@ -175,7 +179,20 @@ class Evaluator:
             return Scalar(of=lambda s: -x.of(s)) if x.of else Scalar(frame=x.frame.withColumn("value", -F.col("value")))
         return with_labels(x.withColumn("value", -F.col("value")), drop_labels(F.col("labels"), NAME)).select(*VECTOR)
 
+    def columns(self, node, sel: P.Selector) -> DataFrame:
+        """An expression over one selector's values."""
+        rows, fixed, _ = self.windows(sel, "", self.context.lookback_ms)
+        last = rows.groupBy("series_id", "step_ms").agg(F.max_by(F.struct("ts_ms", "value", "is_stale"), "ts_ms").alias("s")).where("NOT s.is_stale")
+        series = with_labels(self.series(sel).select("series_id", "labels"), drop_labels(F.col("labels"), NAME))
+        found = self.spread(last, fixed).join(series, "series_id")
+        base = found.select("labels", "labels_key", "step_ms", F.col("s.value").alias("value"), (F.col("s.ts_ms").cast("double") / 1000.0).alias("ts"))
+        df, value = pointwise.evaluate(base, node, _fold)
+        return df.select("labels", "labels_key", "step_ms", value.alias("value"))
+
     def binary(self, node: P.Binary):
+        sel = pointwise.selector_of(node, _fold)
+        if sel is not None:
+            return self.columns(node, sel)
         left, right = self.eval(node.left), self.eval(node.right)
         scalars = isinstance(left, Scalar), isinstance(right, Scalar)
         comparison = node.op in P.COMPARISONS
@@ -211,7 +228,7 @@ class Evaluator:
         if s.of:
             return vector, s.of(F.col("step_ms"))
         side = s.frame.select("step_ms", F.col("value").alias("scalar"))  # at most a row a step
-        return vector.join(F.broadcast(side) if self.grid.count <= 1_000_000 else side, "step_ms", "left"), F.coalesce("scalar", F.lit(NAN))
+        return vector.join(side, "step_ms", "left"), F.coalesce("scalar", F.lit(NAN))
 
     def with_scalar(self, node: P.Binary, left, right, comparison: bool) -> DataFrame:
         vector, s, flipped = (right, left, True) if isinstance(left, Scalar) else (left, right, False)
