@@ -17,6 +17,7 @@ from .model import LABELS, QueryContext, Store, with_labels
 from .operators import catalog, rollup
 from .operators.dedup import dedup_samples, drop_expired
 from .operators.mutable import MutableLabels
+from .plans.matchers import Matcher
 from .sources.events import events_store
 from .sources.wide import from_wide, to_wide
 
@@ -148,6 +149,22 @@ _promql("subquery", "max_over_time(sum_over_time(events[6h])[1d:6h])", f"""WITH
 SELECT {KEY} AS labels, t AS step_ms, round(max(v), 6) AS value FROM g JOIN n ON i > t - {DAY} AND i <= t GROUP BY k, t""")
 _promql("absent_over_time", 'absent_over_time(events{event_type="nothing"}[1d])', f"WITH {_grid()} SELECT 'event_type=\"nothing\"' AS labels, t AS step_ms, 1.0::double AS value FROM g")
 
+_promql("first_over_time", "first_over_time(events[1d])", over_time(_FIRST, key=NAMED))
+
+# overlapping windows: three days every day, and a day and a half every day (panes of twelve hours)
+
+for _name, _range in (("3d", 3 * DAY), ("36h", 36 * HOUR)):
+    for _f, _expr in {"sum": "sum(v)", "min": "min(v)", "max": "max(v)", "count": "count(v)::double", "present": "1.0::double"}.items():
+        _promql(f"panes_{_f}_{_name}", f"{_f}_over_time(events[{_name}])", over_time(_expr, _range))
+    _promql(f"panes_avg_{_name}", f"avg_over_time(events[{_name}]) / 97", over_time("avg(v) / 97", _range))  # so that no value ends between two roundings
+    for _f, _expr in {"last": _LAST, "first": _FIRST}.items():
+        _promql(f"panes_{_f}_{_name}", f"{_f}_over_time(events[{_name}])", over_time(_expr, _range, key=NAMED))
+    for _f, _sql in {"rate": _rate_sql(True, True, _range), "increase": _rate_sql(True, False, _range), "delta": _rate_sql(False, False, _range)}.items():
+        _promql(f"panes_{_f}_{_name}", f"{_f}(events[{_name}])", _sql)
+    for _f, _op in (("changes", "<>"), ("resets", "<")):
+        _promql(f"panes_{_f}_{_name}", f"{_f}(events[{_name}])", over_time(f"coalesce(sum(CASE WHEN pts > t - {_range} AND v {_op} pv THEN 1.0 END), 0)::double", _range, pairs=True))
+_promql("panes_irate", "irate(events[3d])", ORACLES["irate"].replace(str(DAY), str(3 * DAY)).replace(f"{END} + 1, {3 * DAY}", f"{END} + 1, {DAY}"))
+
 # selectors
 
 _promql("instant_lookback", "events", on_vector("v", key=NAMED))
@@ -231,6 +248,32 @@ def _sort_desc(spark, sf_dir):
     return _flat(Engine(events_store(spark, sf_dir), QueryContext(lookback_ms=LOOKBACK)).query("sort_desc(events)", END))
 
 
+_promql("inverse_functions", "asinh(events) + acosh(events + 1) + atanh(events / 1000000) + asin(events / 1000000) + acos(events / 1000000) + tanh(events / 100) + cosh(events / 100)", on_vector("asinh(v) + acosh(v + 1) + atanh(v / 1000000) + asin(v / 1000000) + acos(v / 1000000) + tanh(v / 100) + cosh(v / 100)"))
+_promql("literals", "0x1F + 1e3 + .5 + (2 <= bool 3) * time()", f"WITH {_grid()} SELECT '' AS labels, t AS step_ms, round(1031.5 + t / 1000.0::double, 6) AS value FROM g")
+_promql("limitk", "limitk(2, events)", instant(f"SELECT {NAMED} AS labels, t AS step_ms, round(v, 6) AS value FROM v QUALIFY row_number() OVER (PARTITION BY t ORDER BY k) <= 2"))
+_promql("topk_by_group", "topk by(event_type) (3, events)", aggregated("0", "event_type").split(" SELECT 'event_type")[0] + " SELECT '__name__=\"events\",event_type=\"' || k || '\",user_id=\"' || u || '\"' AS labels, t AS step_ms, round(v, 6) AS value FROM v QUALIFY row_number() OVER (PARTITION BY k, t ORDER BY v DESC, u::varchar) <= 3", **_USERS)
+_promql("group_left_include", 'events * on(event_type) group_left(kind) label_replace(count_over_time(events[6h]), "kind", "$1", "event_type", "(..).*")', instant("SELECT 'event_type=\"' || k || '\",kind=\"' || k[1:2] || '\"' AS labels, t AS step_ms, round(v.v * c.n, 6) AS value FROM v JOIN c USING (k, t)", ", c AS (SELECT k, t, count(*) AS n FROM w GROUP BY k, t)"))
+_promql("on_name_dropped", "events + on(__name__, event_type) events", on_vector("v + v"))
+_promql("at_time", f"sum_over_time(events[1d] @ {END // 1000 - 86_400} offset 1d)", ORACLES["at_modifier"].replace(f"{END} - {DAY} AND ts <= {END}", f"{END} - {3 * DAY} AND ts <= {END} - {2 * DAY}"))
+_promql("sort_by_label", 'sort_by_label(events, "event_type")', on_vector("v", key=NAMED))
+_promql("forced_matcher", "sum_over_time(events[1d])", over_time("sum(v)").replace("FROM events)", "FROM events WHERE event_type <> 'click')"), context=QueryContext(forced_matchers=(Matcher("event_type", "!=", "click"),)))
+
+
+def _with_stale(spark: SparkSession, store: Store) -> Store:
+    """Every third sample by its time is a marker that ends the series."""
+    return Store(series=store.series, samples=store.samples.withColumn("is_stale", F.col("ts_ms") % 3 == 0), merged=True)
+
+
+_promql("stale_instant", "events", on_vector("v", "WHERE ts % 3 <> 0", key=NAMED), prepare=_with_stale)
+_promql("stale_range", "sum_over_time(events[1d])", over_time("sum(v)").replace("FROM events)", "FROM events WHERE epoch_us(ts) // 1000 % 3 <> 0)"), prepare=_with_stale)
+
+
+@_other("clamped_range", over_time("count(v)::double", 3650 * DAY, grid=_grid(31_536_000_000, END, 365 * DAY)))
+def _clamped(spark, sf_dir):
+    """A range from before 1971 begins there."""
+    return _flat(Engine(events_store(spark, sf_dir)).query_range("count_over_time(events[3650d])", 0, END, 365 * DAY))
+
+
 # tenants, limits, virtual labels
 
 _promql("tenant_filter", "sum_over_time(events[1d])", over_time("sum(v)").replace("FROM events)", "FROM events WHERE event_type = 'click')"), context=QueryContext(tenant="click", tenant_label="event_type"))
@@ -371,10 +414,7 @@ _promql("rollup_resets", "resets(events[1d])", ORACLES["resets"].replace(SAMPLES
 @_other("rollup_daily_shard", f"SELECT event_type, {_BUCKET} AS bucket_ms, {START} AS day_ms, min(value) AS min, max(value) AS max, round(avg(value), 6) AS avg, count(*)::double AS cnt FROM events WHERE epoch_us(ts) // 1000 >= {START} AND epoch_us(ts) // 1000 < {START + DAY} GROUP BY event_type, 2")
 def _daily(spark, sf_dir):
     store = events_store(spark, sf_dir)
-    parts = [rollup.rollup_shard(store.samples, shard, START, 4) for shard in range(4)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = rollup.rollup_days(store.samples, START, START)  # all shards in one scan
     return out.join(store.series, "series_id").select(F.col("labels")["event_type"].alias("event_type"), "bucket_ms", "day_ms", "min", "max", F.round("avg", 6).alias("avg"), "cnt")
 
 
@@ -396,9 +436,11 @@ def _long(spark, sf_dir):
     return from_wide(to_wide(store.samples, store.series)).select(F.col("labels_key").alias("labels"), "ts_ms", "value")
 
 
-@_other("holt_winters")
-def _holt(spark, sf_dir):
-    return _flat(Engine(events_store(spark, sf_dir)).query_range("holt_winters(events[1d], 0.5, 0.5)", START, END, STEP))
+_promql("holt_winters", "holt_winters(events[1d], 0.5, 0.25)", f"""WITH RECURSIVE {SAMPLES}, {_grid()}, {_window(DAY)},
+  o AS MATERIALIZED (SELECT k, t, v, row_number() OVER x AS i, lead(v) OVER x AS nv, count(*) OVER (PARTITION BY k, t) AS n FROM w WINDOW x AS (PARTITION BY k, t ORDER BY ts)),
+  h AS (SELECT k, t, 1::bigint AS i, v AS level, nv - v AS slope FROM o WHERE i = 1 AND n >= 2
+    UNION ALL SELECT h.k, h.t, o.i, 0.5::double * (v + level + slope), 0.25::double * (0.5::double * (v + level + slope) - level) + 0.75::double * slope FROM h JOIN o ON o.k = h.k AND o.t = h.t AND o.i = h.i + 1)
+SELECT {KEY} AS labels, t AS step_ms, round(level, 6) AS value FROM h JOIN o USING (k, t, i) WHERE i = n""")
 
 
 @_other("flagship", f"WITH s AS (SELECT event_type AS k, epoch_us(ts) // 1000 AS ts FROM events WHERE event_type IN ('click', 'view')), {_grid()}, w AS (SELECT * FROM g JOIN s ON ts > t - {DAY} AND ts <= t) SELECT {KEY} AS labels, t AS step_ms, count(*)::double AS value FROM w GROUP BY k, t")

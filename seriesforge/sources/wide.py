@@ -59,8 +59,9 @@ def from_wide(wide: DataFrame, start_ms: int | None = None, end_ms: int | None =
     quoted = [f"`{f.name.replace('`', '``')}`" for f in values]
     numbered = ", ".join(f"{i}, {q}" for i, q in enumerate(quoted))
     long = rows.selectExpr("timestamp AS ts_ms", f"stack({len(values)}, {numbered}) AS (column, value)").where("value IS NOT NULL")
-    maps = F.array(*(F.create_map(*(F.lit(x) for kv in d.items() for x in kv)) for d in labels))
-    out = long.select(F.get(maps, F.col("column")).alias("labels"), "ts_ms", "value", F.lit(False).alias("is_stale"))
+    # a table of the columns' labels, as a plan with a literal map for each column would outgrow the compiler
+    named = wide.sparkSession.createDataFrame(list(enumerate(labels)), "column int, labels map<string,string>")
+    out = long.join(named, "column").select("labels", "ts_ms", "value", F.lit(False).alias("is_stale"))
     return apply_nan_policy(out.withColumn("labels_key", labels_key(F.col("labels"))), policy)
 
 
