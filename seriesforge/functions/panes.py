@@ -38,24 +38,21 @@ def _simple(part: Callable[[Column], Column], whole: Callable[[Column], Column])
 _sum = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
 
 
-def _counted(event: Callable[[Column, Column], Column], amount: Callable[[Column], Column]) -> tuple[dict[str, Column], Column]:
-    """What pairs of neighbours add up to: inside a pane, and between it and the one before."""
-    inside = _sum(F.when(F.col("prev_ts_ms").isNotNull() & event(F.col("prev_value"), F.col("value")), amount(F.col("prev_value"))))
-    return {"inside": inside}, F.when(event(F.col("before.value"), F.col("first.value")), amount(F.col("before.value")))
+def _pairs(event: Callable[[Column, Column], Column], amount: Callable[[Column], Column], whole: Callable[[ranges.Window, Column], Column]) -> Paned:
+    """With what pairs of neighbours add up to: inside a pane, and between it and the one before."""
 
-
-def _pairs(event, amount, whole: Callable[[ranges.Window, Column], Column]) -> Paned:
-    parts, edge = _counted(event, amount)
-
-    def parts_of() -> dict[str, Column]:
+    def parts() -> dict[str, Column]:
         at = F.struct(F.col("ts_ms").alias("ts_ms"), F.col("value").alias("value"))
-        return parts | {"n": F.count("value"), "first": F.min_by(at, F.col("ts_ms")), "last": F.max_by(at, F.col("ts_ms"))}
+        before = F.col("prev_value")
+        inside = _sum(F.when(F.col("prev_ts_ms").isNotNull() & event(before, F.col("value")), amount(before)))
+        return {"inside": inside, "n": F.count("value"), "first": F.min_by(at, F.col("ts_ms")), "last": F.max_by(at, F.col("ts_ms"))}
 
-    def whole_of(w: ranges.Window) -> Column:
-        between = F.sum(F.when(F.col("before.ts_ms") > w.at_ms - w.range_ms, edge))
-        return whole(w, F.sum("inside") + F.coalesce(between, F.lit(0.0)))
+    def of(w: ranges.Window) -> Column:
+        before = F.col("before.value")
+        edge = F.when((F.col("before.ts_ms") > w.at_ms - w.range_ms) & event(before, F.col("first.value")), amount(before))
+        return whole(w, F.sum("inside") + _sum(edge))
 
-    return Paned(parts_of, whole_of, pairs=True)
+    return Paned(parts, of, pairs=True)
 
 
 def _rate(counter: bool, per_second: bool) -> Callable[[ranges.Window, Column], Column]:
