@@ -6,8 +6,8 @@ difference of at most (a + b) / 7 <= a / 3.
 
 1. Shingles seen in one document only can't be in an intersection. Each batch sends
    32 bits of each of its shingles to the partition that the others pick; those that
-   meet an equal one are kept in a blocked Bloom filter of bounded size. False hits
-   only prune less. A document with more than a quarter of its shingles outside
+   meet an equal one are kept in a blocked Bloom filter of bounded size, with fewer bits
+   set for each where they are many. False hits only prune less. A document with more than a quarter of its shingles outside
    can't link with a different text and takes no further part. For the others only
    shingles inside (the domain) need be compared; u, the number outside, counts as difference.
 2. Exact copies (equal sets) are one class with its least doc_id as representative.
@@ -56,7 +56,9 @@ SHINGLE = 5
 BUCKETS = 64
 #: Rows of a prefix shingle that are compared in one go.
 BLOCK = 512
-_HALF = np.uint64(32)
+#: Bits of a filter's block that a shingle sets at most.
+PROBES = 8
+_HALF, _PROBE = np.uint64(32), np.uint64(0xD1342543DE82EF95)
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +78,8 @@ def shingles(buf: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.nd
     return grams[new], rows[new]
 
 
-def _part(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> _HALF) * np.uint64(n)) >> _HALF
+def _part(h: np.ndarray, n) -> np.ndarray:
+    return ((h >> _HALF) * np.asarray(n, np.uint64)) >> _HALF
 
 
 def _bloom_key(part: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -106,39 +108,58 @@ def _dealt_shingles(n: int):
 
 
 class Shared:
-    """A blocked Bloom filter in slices, one for each partition of the shingles, each of its own size."""
+    """A blocked Bloom filter in slices, one for each partition of the shingles, each of its own size and number of probes."""
 
-    def __init__(self, n_parts: int, slices: list[tuple[int, bytes]]):
-        self.mask = np.zeros(n_parts, dtype=np.uint64)
+    def __init__(self, n_parts: int, slices: list[tuple[int, int, bytes]]):
+        self.blocks, self.probes = np.ones(n_parts, dtype=np.uint64), np.ones(n_parts, dtype=np.int64)
         self.base = np.zeros(n_parts, dtype=np.int64)
         bits, at = [np.zeros((1, 8), dtype=np.uint64)], 1
-        for part, raw in sorted(slices):
+        for part, probes, raw in sorted(slices):
             own = np.frombuffer(raw, dtype="<u8").reshape(-1, 8)
-            self.mask[part], self.base[part] = len(own) - 1, at
+            self.blocks[part], self.base[part], self.probes[part] = len(own), at, probes
             bits.append(own)
             at += len(own)
         self.bits = np.concatenate(bits)
 
     def test(self, h: np.ndarray) -> np.ndarray:
-        part = _part(h, len(self.mask)).astype(np.int64)
+        part = _part(h, len(self.blocks)).astype(np.int64)
         key = _bloom_key(part, h & np.uint64(0xFFFFFFFF))
-        block = self.base[part] + (key & self.mask[part]).astype(np.int64)
+        block = self.base[part] + _part(key << _HALF, self.blocks[part]).astype(np.int64)
+        key, probes = key * _PROBE, self.probes[part]
         out = np.zeros(len(h), dtype=bool)
         at = np.arange(len(h))
-        for i in range(8):
-            at = at[(self.bits[block[at], i] >> ((key[at] >> np.uint64(16 + 6 * i)) & np.uint64(63))) & np.uint64(1) > 0]
-        out[at] = True
+        for i in range(PROBES):
+            found = _bit(key[at], i) & self.bits[block[at], _word(key[at], i)] > 0
+            out[at[found & (probes[at] == i + 1)]] = True
+            at = at[found & (probes[at] > i + 1)]
+            if not len(at):
+                break
         return out
 
 
-def _slice(key: np.ndarray, most: int) -> np.ndarray:
-    """The filter's blocks for the keys: 12 bits a key, within a fixed bound."""
-    blocks = 1 << min(max(0, most.bit_length() - 1), (len(key) * 12 // 512).bit_length())
+def _word(key: np.ndarray, i: int) -> np.ndarray:
+    """The word of a block for a key's probe i."""
+    return ((key >> np.uint64(61)).astype(np.int64) + i) & 7
+
+
+def _bit(key: np.ndarray, i: int) -> np.ndarray:
+    return np.uint64(1) << ((key >> np.uint64(55 - 6 * i)) & np.uint64(63))
+
+
+def _slice(key: np.ndarray, most: int) -> tuple[int, np.ndarray]:
+    """The filter's probes and blocks for the keys: 12 bits a key, within a fixed bound.
+
+    With fewer bits a key there are fewer probes, so that about half of the bits are set: with 2 bits a key a test still
+    drops three of five others, where eight probes would set all bits and drop none.
+    """
+    blocks = max(1, min(most, -(-len(key) * 12 // 512)))
+    probes = max(1, min(PROBES, round(blocks * 512 / max(len(key), 1) * np.log(2))))
     bits = np.zeros((blocks, 8), dtype=np.uint64)
-    block = (key & np.uint64(blocks - 1)).astype(np.int64)
-    for i in range(8):
-        np.bitwise_or.at(bits[:, i], block, np.uint64(1) << ((key >> np.uint64(16 + 6 * i)) & np.uint64(63)))
-    return bits
+    block = _part(key << _HALF, blocks).astype(np.int64)
+    key = key * _PROBE
+    for i in range(probes):
+        np.bitwise_or.at(bits, (block, _word(key, i)), _bit(key, i))
+    return probes, bits
 
 
 def _shared(most: int):
@@ -155,8 +176,8 @@ def _shared(most: int):
             twice[1:] = low[1:] == low[:-1]
             found = np.unique(low[twice])
             if len(found):
-                bits = _slice(_bloom_key(np.full(len(found), part), found), most)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits.astype("<u8").tobytes()], pa.binary())], names=["part", "bits"])
+                probes, bits = _slice(_bloom_key(np.full(len(found), part), found), most)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([probes], pa.int32()), pa.array([bits.astype("<u8").tobytes()], pa.binary())], names=["part", "probes", "bits"])
 
     return run
 
@@ -426,8 +447,8 @@ def linked_components(docs: DataFrame, most_blocks: int = MOST_BLOCKS, block: in
     keys = partition_keys(spark, n_parts)
 
     dealt = docs.mapInArrow(_arrow.tidy(_dealt_shingles(n_parts)), "part int, low binary").repartition(n_parts, F.get(F.lit(keys), F.col("part")))
-    slices = dealt.mapInArrow(_arrow.tidy(_shared(max(1, most_blocks // n_parts))), "part int, bits binary").collect()  # most_blocks * 64 bytes at most
-    shared = spark.sparkContext.broadcast(Shared(n_parts, [(r["part"], bytes(r["bits"])) for r in slices]))
+    slices = dealt.mapInArrow(_arrow.tidy(_shared(max(1, most_blocks // n_parts))), "part int, probes int, bits binary").collect()  # most_blocks * 64 bytes at most
+    shared = spark.sparkContext.broadcast(Shared(n_parts, [(r["part"], r["probes"], bytes(r["bits"])) for r in slices]))
     del dealt, slices
     release(spark)
     nodes = tables.keep(docs.mapInArrow(_arrow.tidy(_nodes(shared)), "doc_id long, n long, u long, d1 long, d2 long, elements binary, counts binary, least long"))

@@ -204,6 +204,15 @@ def test_components_with_a_full_filter(make_docs):
     assert sorted([tuple(r) for r in got], key=str) == linked(rows)
 
 
+def test_a_filter_of_two_bits_a_shingle_still_drops_most_others():
+    h, others = np.random.default_rng(5).integers(0, 1 << 64, (2, 20_000), dtype=np.uint64)
+    dealt = [jaccard_join._dealt(np.concatenate([h, h]), 1)]
+    slices = [tuple(r.values()) for b in jaccard_join._shared(len(h) * 2 // 512)(dealt) for r in b.to_pylist()]
+    shared = jaccard_join.Shared(1, slices)
+    assert shared.test(h).all()
+    assert shared.test(others).mean() < 0.5
+
+
 def test_signatures_meet():
     """Every pair of sets that link has an equal signature, however they differ."""
     rng = np.random.default_rng(5)
