@@ -8,6 +8,8 @@ an empty table.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ from seriesforge.llm._session import Tables, prepare
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents with a lower quality score are rejected.
 LEAST_QUALITY = 0.5
+#: Words and stems whose ids a worker keeps while it packs: after four other stages an executor's JVM has taken most of its memory.
+PACKING_CACHES = {"cached_words": 600_000, "cached_stems": 500_000}
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +62,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all that is left into sequences, with the token ids."""
     prepare(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), make=functools.partial(packing.word_tokenizer, **PACKING_CACHES))
 
 
 STAGES = [

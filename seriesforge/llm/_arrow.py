@@ -18,16 +18,38 @@ CHUNK_BYTES = 1 << 20
 
 
 
-def tidy(run: Callable) -> Callable:
-    """The function of batches, which at its end gives memory that is free again back to the system: a worker lives on with the next task."""
+#: Caches (of functools) that a worker keeps from task to task, by the name of their operator.
+KEPT: dict[str, Callable] = {}
+
+
+def forget(but: str | None = None) -> None:
+    """Empties the caches of all operators but one."""
+    full = [cache for name, cache in KEPT.items() if name != but and cache.cache_info().currsize]
+    for cache in full:
+        cache.cache_clear()
+    if full:
+        give_back()
+
+
+def give_back() -> None:
+    """Gives memory that is free again back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def tidy(run: Callable, keeps: str | None = None) -> Callable:
+    """The function of batches, which leaves little behind, as a worker lives on with the next task.
+
+    It begins without what other operators keep, and at its end gives free memory back.
+    """
 
     def wrapped(batches):
+        forget(keeps)
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # another C library
-            pass
+        give_back()
 
     return wrapped
 

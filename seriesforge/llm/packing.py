@@ -48,9 +48,11 @@ class WordTokenizer:
     only new letter runs go to the tokenizer, many at once.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS, cached_stems: int = CACHED_STEMS):
         from tokenizers import Tokenizer
 
+        self.cached_words, self.cached_stems = cached_words, cached_stems
+
         # batches are small, and a task has one core: threads would cost more than they give
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
@@ -96,7 +98,7 @@ class WordTokenizer:
             else:
                 stems_of.append(word)
                 tails.append(b"")
-        if len(self.stems) > CACHED_STEMS:
+        if len(self.stems) > self.cached_stems:
             self.stems.clear()
         needed = set(stems_of)
         needed.update(tails)
@@ -114,7 +116,7 @@ class WordTokenizer:
         """The ids of each text."""
         split = [t.split() for t in texts]  # of bytes: at space and U+0009 to U+000D
         words = list(chain.from_iterable(split))
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > self.cached_words:
             self._reset()
         at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(at < 0).tolist()
@@ -131,9 +133,12 @@ class WordTokenizer:
 
 
 @functools.lru_cache(1)
-def word_tokenizer(path: str) -> WordTokenizer:
-    """A worker keeps its tokenizer and caches from task to task."""
-    return WordTokenizer(path)
+def word_tokenizer(path: str, cached_words: int = CACHED_WORDS, cached_stems: int = CACHED_STEMS) -> WordTokenizer:
+    """A worker keeps its tokenizer and caches from task to task, until it gets one of another operator."""
+    return WordTokenizer(path, cached_words, cached_stems)
+
+
+_arrow.KEPT["packing"] = word_tokenizer
 
 
 def cuts(places: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
@@ -264,7 +269,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         yield table()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select("doc_id", "text").mapInArrow(_arrow.tidy(run), schema + (", ids binary" if with_ids else ""))
+    return docs.select("doc_id", "text").mapInArrow(_arrow.tidy(run, "packing"), schema + (", ids binary" if with_ids else ""))
 
 
 def query(spark, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:

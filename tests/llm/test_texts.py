@@ -84,6 +84,19 @@ def test_packing_is_a_round_trip(odd):
         assert at <= 2048
 
 
+def test_other_operators_free_the_word_caches(odd):
+    path = public_tokenizers.path("word_bpe_49k.json")
+
+    def kept(batches):
+        yield from (pa.RecordBatch.from_arrays([pa.array([packing.word_tokenizer.cache_info().currsize])], names=["kept"]) for _ in batches)
+
+    packing.word_tokenizer(path)
+    assert list(_arrow.tidy(iter)([])) == [] and packing.word_tokenizer.cache_info().currsize == 0
+    one = odd.coalesce(1)
+    assert packing.pack(one, path).count() > 0
+    assert {r.kept for r in one.mapInArrow(_arrow.tidy(kept), "kept long").collect()} == {0}
+
+
 def test_packing_empty(make_docs):
     assert packed(make_docs([]), public_tokenizers.path("word_bpe_49k.json")) == []
 
