@@ -71,21 +71,21 @@ class WordTokenizer:
         self.flat, self.first = bytearray(), array("q", [0])
 
     def _encode(self, stems: list[bytes]) -> None:
-        texts = [s.decode("utf-8", "replace") for s in stems]
-        runs = [(s, t) for s, t in zip(stems, texts, strict=True) if t.isalpha()]
-        single = [(s, t) for s, t in zip(stems, texts, strict=True) if not t.isalpha()]
+        runs, single = [], []
+        for stem in stems:
+            (runs if stem.isalpha() or stem.decode("utf-8", "replace").isalpha() else single).append(stem)  # of bytes: A-Z and a-z only
         groups = [runs[i : i + 256] for i in range(0, len(runs), 256)]
-        for group, got in zip(groups, self.tokenizer.encode_batch_fast([" ".join(t for _, t in g) for g in groups], add_special_tokens=False), strict=True):
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode("utf-8", "replace") for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, dtype="<u4")
             ends = np.flatnonzero(self.word_end[ids]) + 1
             if len(ends) != len(group):  # not one run of letters each, after all
                 single += group
                 continue
             raw, at = ids.tobytes(), 0
-            for (stem, _), end in zip(group, (ends * 4).tolist(), strict=True):
+            for stem, end in zip(group, (ends * 4).tolist(), strict=True):
                 self.stems[stem] = raw[at:end]
                 at = end
-        for (stem, _), got in zip(single, self.tokenizer.encode_batch_fast([t for _, t in single], add_special_tokens=False), strict=True):
+        for stem, got in zip(single, self.tokenizer.encode_batch_fast([s.decode("utf-8", "replace") for s in single], add_special_tokens=False), strict=True):
             self.stems[stem] = np.array(got.ids, dtype="<u4").tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
@@ -148,21 +148,19 @@ def cuts(places: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
     """
     n = len(places)
     at, cost = places.tolist(), penalty.tolist()
-    best, back = [0] * n, [0] * n
-    queue = deque([(at[0], 0)])  # best(j) + place(j), rising
+    total, back = at[:1] * n, [0] * n  # best(i) + place(i)
+    queue = deque([0])  # places whose total rises
     for i in range(1, n):
-        here = at[i]
-        while at[queue[0][1]] < here - window:
+        least = at[i] - window
+        while at[queue[0]] < least:
             queue.popleft()
-        value, j = queue[0]
-        best[i] = value - here + window + cost[i]
-        back[i] = j
-        value = best[i] + here
-        while queue and queue[-1][0] >= value:
+        back[i] = j = queue[0]
+        total[i] = value = total[j] + window + cost[i]  # more than the first one's, which so stays
+        while total[queue[-1]] >= value:
             queue.pop()
-        queue.append((value, i))
+        queue.append(i)
     first = int(np.searchsorted(places, at[-1] - window, side="right"))
-    last = min(range(min(first, n - 1), n), key=lambda i: best[i] + at[i])
+    last = min(range(min(first, n - 1), n), key=total.__getitem__)
     out = []
     while last:
         out.append(last)
@@ -191,17 +189,16 @@ class Packer:
     def _ends(self) -> list[int]:
         """Places to cut the stream at, all but what is left over."""
         stream = np.concatenate([d[2] for d in self.docs])
-        kind = np.full(len(stream) + 1, -1, dtype=np.int64)
+        kind = np.full(len(stream) + 1, -1, dtype=np.int8)
         kind[1:][self.sentence_end[np.minimum(stream, len(self.sentence_end) - 1)]] = SENTENCE_PENALTY
         kind[np.cumsum([len(d[2]) for d in self.docs])] = 0
         kind[0] = 0
         places = np.flatnonzero(kind >= 0)
         gaps = np.diff(np.append(places, len(stream)))
-        long = np.flatnonzero(gaps > FORCED_STEP)
-        if len(long):
-            extra = np.concatenate([np.arange(places[i] + FORCED_STEP, places[i] + gaps[i], FORCED_STEP) for i in long])
-            kind[extra] = FORCED_PENALTY
-            places = np.flatnonzero(kind >= 0)
+        many = np.maximum(gaps - 1, 0) // FORCED_STEP  # further places in each gap
+        nth = np.arange(1, many.sum() + 1) - np.repeat(np.cumsum(many) - many, many)
+        kind[np.repeat(places, many) + nth * FORCED_STEP] = FORCED_PENALTY
+        places = np.flatnonzero(kind >= 0)
         return places[cuts(places, kind[places], self.window)].tolist()
 
     def _emit(self, ends: list[int]) -> Iterator[tuple]:

@@ -119,6 +119,26 @@ def test_cuts_are_optimal():
         assert cost == (best[got[-1]] if got else 0)
 
 
+def test_places_in_long_sentences_are_made_at_once(monkeypatch):
+    """A document without sentence ends is cut at every sixteenth token, with no call for each sentence."""
+    rng = np.random.default_rng(9)
+    sizes = [1, 15, 16, 17, 32, 33, *rng.integers(1, 90, 1000).tolist()]
+    packer = packing.Packer(64, np.array([False, False, True]))
+    for key, n in enumerate(sizes):
+        assert not list(packer.add(key, np.array([0] * (n - 1) + [rng.integers(0, 3)], np.uint32)))
+    stream = np.concatenate([d[2] for d in packer.docs])
+    kind = {0: 0, **{i + 1: packing.SENTENCE_PENALTY for i in np.flatnonzero(stream == 2).tolist()}, **dict.fromkeys(np.cumsum(sizes).tolist(), 0)}
+    ends = sorted(kind)
+    for a, b in zip(ends, ends[1:]):
+        kind.update(dict.fromkeys(range(a + packing.FORCED_STEP, b, packing.FORCED_STEP), packing.FORCED_PENALTY))
+    places = np.array(sorted(kind))
+    want = places[packing.cuts(places, np.array([kind[i] for i in places.tolist()]), 64)].tolist()
+    made = []
+    monkeypatch.setattr(packing.np, "arange", lambda *args, plain=np.arange: made.append(args) or plain(*args))
+    assert packer._ends() == want
+    assert len(made) < 10
+
+
 # -- SimHash
 
 
