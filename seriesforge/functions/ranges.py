@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import INF, NAN
@@ -115,16 +115,17 @@ def quantile(phi: float, value: Column | None = None) -> Column:
     return F.percentile(_value() if value is None else value, F.lit(phi))
 
 
-def mad(_: Window) -> Column:
-    """Median of the distances from the median."""
-    values = F.sort_array(F.collect_list(_value()))
+def distances(rows: DataFrame) -> DataFrame:
+    """The rows of windows by distinct value: its count ``n`` and its distance from the window's median."""
+    labels = [F.any_value("labels").alias("labels")] if "labels" in rows.columns else []
+    counts = rows.groupBy("series_id", "step_ms", "value").agg(F.count("value").alias("n"), *labels)
+    medians = counts.groupBy("series_id", "step_ms").agg(F.percentile("value", F.lit(0.5), F.col("n")).alias("median"))
+    return counts.join(medians, ["series_id", "step_ms"]).withColumn("distance", F.abs(_value() - F.col("median")))
 
-    def middle(a: Column) -> Column:
-        n = F.size(a)
-        low, high = F.get(a, ((n - 1) / 2).cast("int")), F.get(a, (n / 2).cast("int"))
-        return (low + high) / 2
 
-    return middle(F.sort_array(F.transform(values, lambda x: F.abs(x - middle(values)))))
+def mad(_: Window) -> Column:
+    """Median of the distances from the median."""
+    return F.percentile("distance", F.lit(0.5), F.col("n"))
 
 
 def double_exponential(smoothing: float, trend: float) -> Callable[[Window], Column]:
@@ -169,3 +170,5 @@ FUNCTIONS: dict[str, Callable[[Window], Column]] = {
 }
 KEEPS_NAME = {"last_over_time", "first_over_time"}
 NEEDS_PREVIOUS |= {"irate", "idelta"}
+#: Sees values with their distance from the window's median.
+NEEDS_DISTANCES = {"mad_over_time"}

@@ -126,8 +126,13 @@ class Evaluator:
             if pane:
                 samples = panes.to_panes(samples, function, grid, sel.offset_ms, pane)
                 return expand(samples, grid, range_ms, sel.offset_ms), fixed, panes.PANED[function].whole
-        rows = expand(samples, grid, range_ms, sel.offset_ms)
-        return with_previous(rows) if function in ranges.NEEDS_PREVIOUS else rows, fixed, None
+        return self.prepared(expand(samples, grid, range_ms, sel.offset_ms), function), fixed, None
+
+    def prepared(self, rows: DataFrame, function: str) -> DataFrame:
+        """The rows of windows with the columns that the function's aggregate sees."""
+        if function in ranges.NEEDS_PREVIOUS:
+            return with_previous(rows)
+        return ranges.distances(rows) if function in ranges.NEEDS_DISTANCES else rows
 
     def named(self, df: DataFrame, sel: P.Selector, keep_name: bool) -> DataFrame:
         """series ids to labels."""
@@ -164,8 +169,7 @@ class Evaluator:
         got = inner.result(node.expr)
         got = got.where(F.col("step_ms") <= end) if first > end else got
         samples = got.select("labels", F.col("labels_key").alias("series_id"), F.col("step_ms").alias("ts_ms"), "value")
-        rows = expand(samples, grid, node.range_ms, node.offset_ms)
-        rows = with_previous(rows) if function in ranges.NEEDS_PREVIOUS else rows
+        rows = self.prepared(expand(samples, grid, node.range_ms, node.offset_ms), function)
         out = rows.groupBy("series_id", "step_ms").agg(aggregate(ranges.Window(node.range_ms, F.col("at_ms"))).alias("value"), F.any_value("labels").alias("labels")).where("value IS NOT NULL")
         out = with_labels(out, F.col("labels") if keep_name else drop_labels(F.col("labels"), NAME)).select(*VECTOR)
         return self.spread(out, fixed)

@@ -1,9 +1,11 @@
 import math
+import statistics
+import time
 
 import pytest
 from helpers import T0, at, over, store
 
-from seriesforge.model import QueryError
+from seriesforge.model import QueryError, Store
 
 
 def counter(spark, points, name="request_total"):
@@ -62,6 +64,26 @@ def test_over_time(spark):
     assert at(s, "rate(nothing[5m])") == {}
 
 
+def test_median_distance(spark):
+    s = counter(spark, [(k * 7 - 100, v) for k, v in enumerate([5, 1, 5, 9, 2, 5, 30, 1])])
+    for seconds in (7, 20, 60, 200):
+        inside = [v for k, v in enumerate([5, 1, 5, 9, 2, 5, 30, 1]) if k * 7 - 100 > -51 - seconds]
+        distances = [abs(v - statistics.median(inside)) for v in inside]
+        assert math.isclose(at(s, f"mad_over_time(request_total[{seconds}s])", T0 - 51_000)[""], statistics.median(distances)), seconds
+    assert at(s, "mad_over_time(request_total[5m:1s] offset 51s)")[""] == at(s, "mad_over_time(request_total[5m:1s])", T0 - 51_000)[""]
+
+
+def test_median_distance_of_long_window(spark):
+    # a window's samples are neither held in one array nor gone through again for each of them
+    points = spark.range(20_000).selectExpr("1L AS series_id", f"{T0}L - id AS ts_ms", "double(id * 7919 % 20011) AS value", "false AS is_stale")
+    s = Store(series=counter(spark, [(0, 1)]).series, samples=points)
+    values = [k * 7919 % 20011 for k in range(20_000)]
+    middle = statistics.median(values)
+    begin = time.monotonic()
+    assert at(s, "mad_over_time(request_total[1m])")[""] == statistics.median(abs(v - middle) for v in values)
+    assert time.monotonic() - begin < 60
+
+
 def test_nan_rules(spark):
     s = counter(spark, [(-40, 1), (-30, math.nan), (-20, 3)])
     assert at(s, "max_over_time(request_total[1m])")[""] == 3.0
