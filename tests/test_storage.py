@@ -8,6 +8,7 @@ import pytest
 from helpers import T0, at, over, store
 from pyspark.sql import functions as F
 
+from seriesforge import queries
 from seriesforge.engine import Engine, clamp_range
 from seriesforge.model import LABELS, QueryContext, QueryError, Store, labels_key
 from seriesforge.operators import catalog, dedup, rollup
@@ -186,6 +187,35 @@ def test_wide_and_fixed_round_trip(spark, tmp_path):
     assert S.export_batches(0, 25, 10) == [(0, 10), (10, 20), (20, 25)]
 
 
+@pytest.fixture(scope="module")
+def repeated_events(spark, tmp_path_factory):
+    """A folder with events of one type and time; one row is there twice."""
+    path = tmp_path_factory.mktemp("repeated")
+    day = 1_704_160_000_000_000
+    events = [(1, day, "click", 10.0), (2, day, "click", 30.0), (3, day + 1, "click", 20.0), (4, day, "view", 5.0), (5, day + 1000, "click", 7.0), (6, day + 7000, "error", 1.0), (6, day + 7000, "error", 1.0)]
+    frame = spark.createDataFrame(events, "event_id long, us long, event_type string, value double")
+    frame.selectExpr("event_id", "timestamp_micros(us) AS ts", "event_id AS user_id", "event_type", "value").coalesce(1).write.parquet(str(path / "events.parquet"))
+    return str(path)
+
+
+def by_sql(name, path):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    c.sql("SET timezone = 'UTC'")
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{path}/events.parquet/*.parquet'")
+    found = c.sql(queries.ORACLES[name])
+    return found.columns, sorted(found.fetchall(), key=repr)
+
+
+def by_spark(name, path, spark):
+    found = queries.QUERIES[name](spark, path)
+    return found.columns, sorted((tuple(r) for r in found.collect()), key=repr)
+
+
+def test_long_from_wide_of_repeated_times(spark, repeated_events):
+    assert by_spark("long_from_wide", repeated_events, spark) == by_sql("long_from_wide", repeated_events)
+
+
 def test_stale_bits_and_write(spark, tmp_path):
     bits = np.array([0x3FF0000000000000, 0x7FF8000000000001, S.STALE_BITS], "<u8")
     pq.write_table(pa.table({"ts_ms": [0, 1, 2], "value": bits.view("<f8")}), tmp_path / "s.parquet")
