@@ -132,7 +132,11 @@ class Grid:
 
 @dataclass
 class Store:
-    """The tables that a query reads. Rollup and hot samples are optional."""
+    """The tables that a query reads. Rollup and hot samples are optional.
+
+    Samples (hot ones too) may have a column ``point`` that tells different samples of a series at one time apart;
+    reads then merge repeated samples of one point only.
+    """
 
     series: DataFrame
     samples: DataFrame

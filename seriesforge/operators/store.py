@@ -67,7 +67,9 @@ def within(samples: DataFrame, low_ms: int, high_ms: int, column: str = "ts_ms")
 
 
 def raw_samples(store: Store, low_ms: int, high_ms: int) -> DataFrame:
-    columns = ("series_id", "ts_ms", "value", "is_stale")
+    columns = ["series_id", "ts_ms", "value", "is_stale"]
+    if "point" in store.samples.columns and (store.hot is None or "point" in store.hot.columns):
+        columns.append("point")
     cold = within(store.samples, low_ms, high_ms).select(*columns)
     if not store.merged:
         cold = dedup_samples(cold)

@@ -216,6 +216,20 @@ def test_long_from_wide_of_repeated_times(spark, repeated_events):
     assert by_spark("long_from_wide", repeated_events, spark) == by_sql("long_from_wide", repeated_events)
 
 
+def test_merged_read_of_repeated_times(spark, repeated_events):
+    assert by_spark("merged_read", repeated_events, spark) == by_sql("merged_read", repeated_events)
+
+
+def test_points_of_one_time(spark):
+    cold = spark.createDataFrame([(1, 0, 1.0, False, "a"), (1, 0, 2.0, False, "b"), (1, 0, NAN, False, "a"), (1, 9, 3.0, False, "a")], SCHEMA + ", point string")
+    s = Store(series=spark.createDataFrame([(1, {"__name__": "m"})], "series_id long, labels map<string,string>"), samples=cold)
+    assert rows(Engine(s).read(["m"], 0, 9), "ts_ms", "value") == [(0, 1), (0, 2), (9, 3)]
+    s.hot = spark.createDataFrame([(1, 5, 7.0, False, "a"), (1, 5, 8.0, False, "a"), (1, 5, 4.0, False, "b")], cold.schema)
+    assert rows(Engine(s).read(["m"], 0, 9), "ts_ms", "value") == [(0, 1), (0, 2), (5, 4), (5, 8)]
+    s.hot = s.hot.drop("point")  # told apart in one part only: merged by time
+    assert rows(Engine(s).read(["m"], 0, 9), "ts_ms", "value") == [(0, 2), (5, 8)]
+
+
 def test_stale_bits_and_write(spark, tmp_path):
     bits = np.array([0x3FF0000000000000, 0x7FF8000000000001, S.STALE_BITS], "<u8")
     pq.write_table(pa.table({"ts_ms": [0, 1, 2], "value": bits.view("<f8")}), tmp_path / "s.parquet")
