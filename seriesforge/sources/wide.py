@@ -32,7 +32,8 @@ def apply_nan_policy(samples: DataFrame, policy: str = "keep") -> DataFrame:
 def to_wide(samples: DataFrame, series: DataFrame, policy: str = "keep", columns: list[str] | None = None, repeats: bool = False) -> DataFrame:
     """timestamp and ``{labels}`` columns. The columns' names come from the catalog, so pivoting needs no extra pass over samples.
 
-    With ``repeats``, further samples of a series at one time lie in further rows of that time.
+    Of the samples of a series at one time the largest counts, NaN as the largest of all, as SQL's max has it.
+    With ``repeats`` none is left out: further samples of a series at one time lie in further rows of that time.
     """
     names = columns or [r[0] for r in series.select("labels_key").distinct().orderBy("labels_key").collect()]
     named = apply_nan_policy(samples, policy).join(series.select("series_id", "labels_key"), "series_id")
@@ -40,7 +41,7 @@ def to_wide(samples: DataFrame, series: DataFrame, policy: str = "keep", columns
     if repeats:  # dealt by time, as the window and both aggregations of the pivot then need no other shuffle
         named = named.repartition("ts_ms").withColumn("repeat", F.row_number().over(W.partitionBy("ts_ms", "labels_key").orderBy("value")))
         by.append(F.col("repeat"))
-    wide = named.groupBy(*by).pivot("labels_key", names).agg(F.first("value"))
+    wide = named.groupBy(*by).pivot("labels_key", names).agg(F.max("value"))
     return wide.select("timestamp", *(F.col(f"`{n.replace('`', '``')}`").alias("{" + n + "}") for n in names))
 
 

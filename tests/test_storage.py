@@ -230,6 +230,14 @@ def test_points_of_one_time(spark):
     assert rows(Engine(s).read(["m"], 0, 9), "ts_ms", "value") == [(0, 2), (5, 8)]
 
 
+def test_wide_export_of_repeated_times(spark, repeated_events):
+    assert by_spark("wide_export", repeated_events, spark) == by_sql("wide_export", repeated_events)
+    s = store(spark, ({"__name__": "m"}, [(0, 2), (0, 3), (0, 1), (5, 2), (5, NAN)]), ({"__name__": "n"}, [(0, 4)]))
+    for samples in (s.samples.orderBy("value"), s.samples.orderBy(F.desc("value"))):
+        first, second = to_wide(samples.coalesce(1), s.series).orderBy("timestamp").collect()
+        assert tuple(first) == (0, 3, 4) and math.isnan(second[1]) and second[2] is None
+
+
 def test_stale_bits_and_write(spark, tmp_path):
     bits = np.array([0x3FF0000000000000, 0x7FF8000000000001, S.STALE_BITS], "<u8")
     pq.write_table(pa.table({"ts_ms": [0, 1, 2], "value": bits.view("<f8")}), tmp_path / "s.parquet")
